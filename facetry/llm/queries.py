@@ -8,17 +8,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .language import held_out, identify, learn
+from .media import media_features, to_media
+from .packing import pack
 from .simhash import simhash_classes
 
 
+def tokenizer_path() -> str:
+    """The packing queries' vocabulary file; it lies outside the repository."""
+    from public_tokenizers import path
+
+    return path("word_bpe_49k.json")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id over all documents."""
     found = simhash_classes(table(spark, sf_dir, "documents"), width=4, words=1, max_distance=4)
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and features of every document's text, stored as Ogg and read back."""
+    return media_features(to_media(table(spark, sf_dir, "documents")))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 ids, one row per piece."""
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from those whose crc32(doc_id) mod 4 is not 2."""
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, learn(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_simhash": op3_simhash}
+    return {
+        "op3_simhash": op3_simhash,
+        "op4_ogg": op4_ogg,
+        "op7_packing": op7_packing,
+        "op8_language_id": op8_language_id,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat, decontam
 from .common import table
 from .language import held_out, identify, learn
+from .lines import dedup_lines
 from .media import media_features, to_media
 from .packing import pack
 from .simhash import simhash_classes
@@ -21,6 +23,11 @@ def tokenizer_path() -> str:
     return path("word_bpe_49k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the blocks of lines that it shares with an earlier one."""
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id over all documents."""
     found = simhash_classes(table(spark, sf_dir, "documents"), width=4, words=1, max_distance=4)
@@ -32,6 +39,11 @@ def op4_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(to_media(table(spark, sf_dir, "documents")))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that it contains."""
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 ids, one row per piece."""
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -44,14 +56,22 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations, rendered."""
+    return chat.render(chat.maximal_conversations(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op3_simhash": op3_simhash,
         "op4_ogg": op4_ogg,
+        "op5_decontamination": op5_decontamination,
         "op7_packing": op7_packing,
         "op8_language_id": op8_language_id,
+        "op9_chat": op9_chat,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontamination": decontam.SQL, "op9_chat": chat.SQL}

@@ -14,6 +14,7 @@ from .lines import dedup_lines
 from .media import media_features, to_media
 from .packing import pack
 from .simhash import simhash_classes
+from .suffixes import dedup_substrings
 
 
 def tokenizer_path() -> str:
@@ -44,6 +45,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without 100-byte strings that start earlier."""
+    found = dedup_substrings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 ids, one row per piece."""
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -67,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": op3_simhash,
         "op4_ogg": op4_ogg,
         "op5_decontamination": op5_decontamination,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_packing": op7_packing,
         "op8_language_id": op8_language_id,
         "op9_chat": op9_chat,

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam
+from . import chat, decontam, html
 from .common import table
 from .language import held_out, identify, learn
+from .licenses import scan_licenses
 from .lines import dedup_lines
 from .media import media_features, to_media
 from .packing import pack
@@ -29,6 +30,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents."""
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id over all documents."""
     found = simhash_classes(table(spark, sf_dir, "documents"), width=4, words=1, max_distance=4)
@@ -68,9 +74,15 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(chat.maximal_conversations(table(spark, sf_dir, "conversations")))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_licenses": op2_licenses,
         "op3_simhash": op3_simhash,
         "op4_ogg": op4_ogg,
         "op5_decontamination": op5_decontamination,
@@ -78,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_packing": op7_packing,
         "op8_language_id": op8_language_id,
         "op9_chat": op9_chat,
+        "op10_html": op10_html,
     }
 
 

@@ -9,22 +9,20 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, haversine
 
-LAT, LON = F.col("lat"), F.col("lon")
-
 
 def _box(lat: float, lon: float, km: float) -> Column:
     """A latitude band (and longitude band away from the poles) that holds the circle; reaches the scan as a filter."""
     d = math.degrees(km / EARTH_KM)
-    keep = LAT.between(lat - d, lat + d)
+    keep = F.col("lat").between(lat - d, lat + d)
     if abs(lat) + d < 89:
         w = math.degrees(math.asin(min(1.0, math.sin(math.radians(d)) / math.cos(math.radians(lat)))))
         if lon - w >= -180 and lon + w <= 180:
-            keep &= LON.between(lon - w, lon + w)
+            keep &= F.col("lon").between(lon - w, lon + w)
     return keep
 
 
 def _from(lat: float, lon: float) -> Column:
-    return haversine(F.lit(lat), F.lit(lon), LAT, LON)
+    return haversine(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon"))
 
 
 def within_radius(points: DataFrame, lat: float, lon: float, km: float) -> DataFrame:
@@ -37,7 +35,7 @@ def within_bounds(points: DataFrame, lat0: float, lon0: float, lat1: float, lon1
     """Inclusive; km is the distance from the middle of the box."""
     if lat0 > lat1 or lon0 > lon1:
         raise ValueError("bounds must be in order")
-    return points.where(LAT.between(lat0, lat1) & LON.between(lon0, lon1)).withColumn("km", _from((lat0 + lat1) / 2, (lon0 + lon1) / 2))
+    return points.where(F.col("lat").between(lat0, lat1) & F.col("lon").between(lon0, lon1)).withColumn("km", _from((lat0 + lat1) / 2, (lon0 + lon1) / 2))
 
 
 def nearest(points: DataFrame, lat: float, lon: float, k: int) -> DataFrame:
@@ -49,7 +47,7 @@ def in_polygon(points: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
     crossings = F.lit(0)
     for (a, b), (c, d) in zip(ring, ring[1:] + ring[:1]):
         if a != c:
-            hit = ((F.lit(a) > LAT) != (F.lit(c) > LAT)) & (LON < (F.lit(d) - F.lit(b)) * (LAT - F.lit(a)) / F.lit(c - a) + F.lit(b))
+            hit = ((F.lit(a) > F.col("lat")) != (F.lit(c) > F.col("lat"))) & (F.col("lon") < (F.lit(d) - F.lit(b)) * (F.col("lat") - F.lit(a)) / F.lit(c - a) + F.lit(b))
             crossings = crossings + hit.cast("int")
     return points.where(crossings % 2 == 1)
 

@@ -57,7 +57,7 @@ class Scanner:
             self.given[k] = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)
 
     def at(self, lines: list[str], i: int) -> tuple | None:
-        """The notice that begins at line i: (template, saved share, differing words, missing, extra)."""
+        """The notice that begins at line i: (end line, template, saved share, differing words, missing, extra)."""
         ranked = []
         for k, words in self.words.items():
             block, n, j = lines[i], len(_words(lines[i])), i + 1
@@ -65,8 +65,8 @@ class Scanner:
                 block, n, j = f"{block} {lines[j]}", n + len(_words(lines[j])), j + 1
             data = block.encode()
             plain = len(self.plain.compress(data))
-            ranked.append(((plain - len(self.given[k].compress(data))) / plain, k, block))
-        for saved, k, block in sorted(ranked, key=lambda r: (-r[0], r[1])):
+            ranked.append(((plain - len(self.given[k].compress(data))) / plain, k, block, j))
+        for saved, k, block, j in sorted(ranked, key=lambda r: (-r[0], r[1])):
             if saved < MIN_SAVED:
                 return None
             have, want = _words(block), self.words[k]
@@ -79,12 +79,20 @@ class Scanner:
             extra = [w for tag, _, _, a, b in ops if tag in ("insert", "replace") for w in have[a:b]]
             differ = max(len(missing), len(extra))
             if differ * 100 <= MAX_DIFFER * len(want):
-                return k, saved, differ, " ".join(missing), " ".join(extra)
+                return j, k, saved, differ, " ".join(missing), " ".join(extra)
         return None
 
     def scan(self, text: str) -> list[tuple]:
-        lines = text.split("\n")
-        return [(i, *found) for i, line in enumerate(lines) if self.cue.search(line) and (found := self.at(lines, i))]
+        """(line, template, saved share, differing words, missing, extra) per notice; it may begin up to two lines before its cue."""
+        lines, out, end = text.split("\n"), [], 0
+        for i, line in enumerate(lines):
+            if i >= end and self.cue.search(line):
+                for k in range(i, max(end, i - 2) - 1, -1):
+                    if found := self.at(lines, k):
+                        end = found[0]
+                        out.append((k, *found[1:]))
+                        break
+        return out
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:

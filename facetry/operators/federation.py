@@ -80,3 +80,23 @@ def consensus(votes: DataFrame, level: str) -> DataFrame:
     best = counts.groupBy("entity_id").agg(F.sum("votes").alias("of"), F.min_by("value", F.struct((-F.col("votes")).alias("v"), "value")).alias("value"), F.max("votes").alias("votes"))
     need = {"STRONG": F.col("of"), "QUORUM": F.floor(F.col("of") / 2) + 1, "EVENTUAL": F.lit(1)}[level]
     return best.select("entity_id", "value", "votes", "of", (F.col("votes") >= need).alias("agreed"))
+
+
+def fan_out(readers: dict[str, object]) -> tuple[DataFrame | None, dict[str, str]]:
+    """Union of the stores that can be opened, each row with its store_id, and the errors of the others.
+
+    A reader is a function without arguments that gives a DataFrame; one that fails counts as empty.
+    """
+    rows, errors = [], {}
+    for store, read in readers.items():
+        try:
+            rows.append(read().withColumn("store_id", F.lit(store)))
+        except Exception as e:  # noqa: BLE001  any store may fail in its own way
+            errors[store] = str(e).splitlines()[0]
+    return (union(rows) if rows else None), errors
+
+
+def heartbeats(beats: DataFrame) -> DataFrame:
+    """(store_id, registered, last_seen, beats, live): the registry as a fold of its log (store_id, ts, op); a store is live unless its last entry is 'leave'."""
+    g = beats.groupBy("store_id").agg(F.min("ts").alias("registered"), F.max("ts").alias("last_seen"), F.count("*").alias("beats"), F.max_by("op", F.struct("ts", "op")).alias("last_op"))
+    return g.select("store_id", "registered", "last_seen", "beats", (F.col("last_op") != "leave").alias("live"))

@@ -58,3 +58,31 @@ def resolve(strategy: str, modalities: Column, severity: Column, priority: list[
     else:
         raise ValueError(strategy)
     return F.when(severity >= MANUAL_FROM, "manual").otherwise(win)
+
+
+def summary(modality: str) -> Column:
+    """One line on a modality's content, from the columns of the assembled entity; null where it is absent."""
+    c = F.col
+    text = {
+        "document": lambda: F.format_string("document(title='%s', body_len=%d)", c("document.title"), F.octet_length("document.body")),
+        "vector": lambda: F.format_string("vector(dim=%d)", F.size("vector.embedding")),
+        "tensor": lambda: F.format_string("tensor(shape=[%s], len=%d)", F.array_join(c("tensor.shape").cast("array<string>"), ", "), F.size("tensor.data")),
+        "temporal": lambda: F.format_string("temporal(versions=%d)", c("version_count")),
+    }[modality]()
+    return F.when(c("version_count") > 0 if modality == "temporal" else c(modality).isNotNull(), text)
+
+
+def _changes(entities: DataFrame, modality: str, *steps: tuple[Column, str, str]) -> DataFrame:
+    """(entity_id, modality, field, change): a row per step whose source is there."""
+    rows = F.array_compact(F.array(*(F.when(there, F.struct(F.lit(field).alias("field"), F.lit(change).alias("change"))) for there, field, change in steps)))
+    return entities.select("entity_id", F.lit(modality).alias("modality"), F.explode(rows).alias("s")).select("entity_id", "modality", "s.field", "s.change")
+
+
+def vector_repairs(entities: DataFrame) -> DataFrame:
+    """How a drifted vector is regenerated; no row where there is neither document nor semantic source."""
+    return _changes(entities, "vector", (F.col("document").isNotNull(), "embedding", "regenerate from document"), (F.col("semantic").isNotNull(), "embedding_context", "incorporate semantic types"))
+
+
+def tensor_repairs(entities: DataFrame) -> DataFrame:
+    """How a drifted tensor is regenerated; no row where there is neither vector nor document."""
+    return _changes(entities, "tensor", (F.col("vector").isNotNull(), "data", "reshape embedding"), (F.col("document").isNotNull(), "features", "weight terms of document"))

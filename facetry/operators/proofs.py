@@ -102,3 +102,25 @@ def check_obligations(kinds: list[str], contracts: dict[str, str]) -> list[str]:
 def certificates(obligations: DataFrame) -> DataFrame:
     """Adds certificate, the SHA-256 of obligation, witness and time."""
     return obligations.withColumn("certificate", F.sha2(F.concat("obligation", "witness", "ts"), 256))
+
+
+def verify(kind: Column, claim: Column, secret: Column, digest: Column) -> Column:
+    """A stored proof: a commitment holds until revealed, a reveal must hash to it, an integrity proof to the content;
+    an attestation is trusted, and older kinds hold if they have data."""
+    return (
+        F.when(kind.isin("commitment", "attestation"), True)
+        .when(kind == "reveal", digest == F.sha2(F.concat(claim, secret), 256))
+        .when(kind == "integrity", digest == F.sha2(claim, 256))
+        .otherwise(F.coalesce(F.length(digest) > 0, F.lit(False)))
+    )
+
+
+def key_store(keys: DataFrame) -> DataFrame:
+    """(circuit, version, active, previous, fingerprint) out of stored keys (circuit, seq, key): a later key rotates the one before."""
+    g = keys.groupBy("circuit").agg(F.count("*").alias("version"), F.max_by("key", "seq").alias("active"), F.get(F.sort_array(F.collect_list(F.struct("seq", "key")), asc=False), F.lit(1))["key"].alias("previous"))
+    return g.withColumn("fingerprint", F.sha2("active", 256))
+
+
+def composable(kinds: list[str], with_: dict[str, set[str]]) -> bool:
+    """Every pair of proof kinds accepts each other."""
+    return all(b in with_.get(a, ()) and a in with_.get(b, ()) for i, a in enumerate(kinds) for b in kinds[i + 1 :])

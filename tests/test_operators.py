@@ -203,3 +203,17 @@ def test_sources(spark, tmp_path):
         files.write(t["vector"], str(tmp_path / "w"), "xml")
 
 
+
+
+def test_fan_out(spark):
+    def broken():
+        raise RuntimeError("store is down")
+
+    rows, errors = federation.fan_out({"a": lambda: spark.range(2), "b": broken, "c": lambda: spark.range(1).withColumn("x", F.lit(1))})
+    assert sorted((r.id, r.store_id, r.x) for r in rows.collect()) == [(0, "a", None), (0, "c", 1), (1, "a", None)] and errors == {"b": "store is down"}
+    assert federation.fan_out({"b": broken})[0] is None
+
+
+def test_composable():
+    rules = {"a": {"b", "c"}, "b": {"a"}, "c": {"a", "b"}}
+    assert proofs.composable(["a", "b"], rules) and not proofs.composable(["a", "b", "c"], rules) and proofs.composable(["a"], {})

@@ -195,7 +195,8 @@ def links(classes: DataFrame, masks: list[list[int]], words: int, max_distance:
         if held:
             yield solve(pa.Table.from_batches(held))
 
-    dealt = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    # sorted by node as well, the smallest node is the root of a unit's forest, so units that overlap give equal links
+    dealt = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 

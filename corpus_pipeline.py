@@ -14,8 +14,9 @@ from facetry.llm.queries import tokenizer_path
 #: No stage but decontamination is expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
-#: Near duplicates: 256-bit SimHash of five-word shingles. Texts of Jaccard similarity 0.8 differ in 39 bits on average.
-NEAR_BITS, NEAR_BANDS, BAND_BITS = 42, 40, 18
+#: Near duplicates: 256-bit SimHash of distinct five-word shingles. Texts of Jaccard similarity 0.8 differ in 39 bits on average.
+#: Keys of 22 bits keep chance agreements of unlike texts few; some bits more than log2 of the documents are enough for that.
+NEAR_BITS, NEAR_BANDS, BAND_BITS = 44, 80, 22
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest doc_id, of each class of near duplicates."""
     masks = simhash.band_masks(4, NEAR_BANDS, BAND_BITS)
-    found = simhash.simhash_classes(docs, width=5, words=4, max_distance=NEAR_BITS, masks=masks)
+    found = simhash.simhash_classes(docs, width=5, words=4, max_distance=NEAR_BITS, masks=masks, repeats=False)
     return docs.join(found.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 

@@ -57,9 +57,11 @@ def _mixed(h: np.ndarray, word: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def fingerprint(text: bytes, width: int = 4, words: int = 1) -> bytes:
-    """SimHash of 64 x ``words`` bits: a bit is set if it is set in over half the shingle hashes."""
+def fingerprint(text: bytes, width: int = 4, words: int = 1, repeats: bool = True) -> bytes:
+    """SimHash of 64 x ``words`` bits: a bit is set if it is set in over half the shingle hashes, repeats included or not."""
     octets = np.frombuffer(shingle_digests(text, width), np.uint8).reshape(-1, 8)
+    if not repeats:
+        octets = np.unique(octets.reshape(-1).view("u8")).view(np.uint8).reshape(-1, 8)
     n = len(octets)
     if not n:
         return bytes(8 * words)
@@ -70,13 +72,13 @@ def fingerprint(text: bytes, width: int = 4, words: int = 1) -> bytes:
     return b"".join(np.packbits(_counts(p) * 2 > n).tobytes() for p in parts)
 
 
-def fingerprints(docs: DataFrame, width: int = 4, words: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = 4, words: int = 1, repeats: bool = True) -> DataFrame:
     """(doc_id, fp binary) for every row; a null text counts as empty, whose fingerprint is zero."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t.as_py() or b"", width, words) for t in b.column(1)]
+            fps = [fingerprint(t.as_py() or b"", width, words, repeats) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())], names=["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -158,16 +160,17 @@ def links(classes: DataFrame, masks: list[list[int]], words: int, max_distance:
             bits = np.unpackbits(raw, axis=1).astype(np.int64)
             for k, mask in enumerate(masks):
                 key = bits[:, mask] @ (1 << np.arange(len(mask))) + (k << 32)
-                yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0), b.column(1)], names=["key", "node", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0)], names=["key", "node"])
 
-    keys = classes.select("node", "fp").mapInArrow(keyed, "key long, node long, fp binary")
+    keys = classes.select("node", "fp").mapInArrow(keyed, "key long, node long")
     counts = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / BLOCK_ROWS)
     units = (
         keys.join(counts, "key")
-        .select("key", "node", "fp", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("own"))
-        .select("key", "node", "fp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "fp")
+        .select("key", "node", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("own"))
+        .select("key", "node", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node")
+        .join(classes.select("node", "fp"), "node")  # fingerprints travel only with keys that recur
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +203,7 @@ def links(classes: DataFrame, masks: list[list[int]], words: int, max_distance:
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
-def simhash_classes(docs: DataFrame, width: int = 4, words: int = 1, max_distance: int = 4, masks: list[list[int]] | None = None) -> DataFrame:
+def simhash_classes(docs: DataFrame, width: int = 4, words: int = 1, max_distance: int = 4, masks: list[list[int]] | None = None, repeats: bool = True) -> DataFrame:
     """(doc_id, fp binary, component_id): component_id is the smallest doc_id reachable by links.
 
     Fingerprints link at ``max_distance`` differing bits or fewer. With one word the default masks lose no link.
@@ -210,7 +213,7 @@ def simhash_classes(docs: DataFrame, width: int = 4, words: int = 1, max_distanc
     """
     masks = masks or pigeonhole_masks(max_distance)
     small_batches(docs.sparkSession)
-    fps = stash(fingerprints(docs, width, words), "fingerprints")
+    fps = stash(fingerprints(docs, width, words, repeats), "fingerprints")
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     classes = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
     found = links(classes.where("node is not null"), masks, words, max_distance)

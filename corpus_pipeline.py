@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetry.llm import decontam, language, lines, packing, simhash
-from facetry.llm.common import stash, table
+from facetry.llm.common import bounded, first_per_id, stash, table
 from facetry.llm.queries import tokenizer_path
 
 #: No stage but decontamination is expressible in SQL; tests hold the stages against brute force.
@@ -20,29 +20,29 @@ NEAR_BITS, NEAR_BANDS, BAND_BITS = 44, 80, 22
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with a margin; the others go."""
-    found = language.identify(docs, language.learn(docs))
-    return docs.join(found.where("not rejected").select("doc_id").distinct(), "doc_id", "left_semi")
+    """Documents whose language is told with a margin; the others go. Documents pass through where they are read."""
+    found = language.identify(docs, language.learn(docs), keep=docs.columns)
+    return found.where("not rejected").select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without blocks of lines that an earlier one has; n_chars follows the text."""
-    found = lines.dedup_lines(docs).where("n_removed > 0").select("doc_id", F.col("text").alias("left")).dropDuplicates(["doc_id"])
-    out = docs.join(found, "doc_id", "left").withColumn("text", F.coalesce("left", "text")).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    out = lines.without(docs, lines.removed_runs(docs))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each class of near duplicates."""
+    """One document, the smallest doc_id, of each class of near duplicates; documents without doc_id aren't judged and stay."""
     masks = simhash.band_masks(4, NEAR_BANDS, BAND_BITS)
     found = simhash.simhash_classes(docs, width=5, words=4, max_distance=NEAR_BITS, masks=masks, repeats=False)
-    return docs.join(found.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return first_per_id(docs.join(bounded(stash(gone, "near-duplicates")), "doc_id", "left_anti").select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(bounded(stash(found, "contaminated")), "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import BROADCAST_ROWS, bounded, stash
 
 WIDTH, PERCENT = 5, 80
-#: Rows up to which the test items' sketches and the candidate ids are broadcast (some 20 MB); larger sides are shuffled.
-BROADCAST_ROWS = 500_000
 
 
 def _words(text: str) -> Column:
@@ -56,12 +54,11 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent
     """
     found, wanted = sketches(items, width, percent)
     found, wanted = stash(found, "sketches"), stash(wanted, "item-shingles")
-    small = lambda df: F.broadcast(df) if df.limit(broadcast_rows + 1).count() <= broadcast_rows else df
     words = docs.where("doc_id is not null").select("doc_id", _words("text").alias("w"))
-    hits = words.select("doc_id", F.explode(_shingles("w", width, F.xxhash64)).alias("h")).join(small(found), "h")
+    hits = words.select("doc_id", F.explode(_shingles("w", width, F.xxhash64)).alias("h")).join(bounded(found, broadcast_rows), "h")
     candidates = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("h").alias("got"), F.max("need").alias("need")).where("got >= need")
     candidates = stash(candidates.select("doc_id", "item_id"), "candidates")
-    near = docs.where("doc_id is not null").select("doc_id", "text").join(small(candidates.select("doc_id").distinct()), "doc_id", "left_semi")
+    near = docs.where("doc_id is not null").select("doc_id", "text").join(bounded(candidates.select("doc_id").distinct(), broadcast_rows), "doc_id", "left_semi")
     near = near.select("doc_id", _words("text").alias("w"))
     held = near.select("doc_id", F.explode(F.array_distinct(_shingles("w", width, lambda *x: F.concat_ws(" ", *x)))).alias("shingle"))
     shared = candidates.join(wanted, "item_id").join(held.distinct(), ["doc_id", "shingle"])

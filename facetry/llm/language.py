@@ -10,6 +10,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small_batches
 
@@ -48,8 +49,8 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, dict_bytes: int = DIC
     return {k: v.rjust(8) for k, v in found.items()}
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
-    """(doc_id, lang_pred, score, rejected) for every row.
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, lang_pred, score, rejected) for every row; with the columns ``keep`` of docs in place of doc_id if given.
 
     A null text, one without a letter, or no learned language: ``und``, score 0, rejected. Ties go to the first
     language by name and are rejected. score is the logistic of the bytes saved over the second best language.
@@ -66,7 +67,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
             coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
         for b in batches:
             lang, score, rejected = [], [], []
-            for t in b.column(1):
+            for t in b.column(at):
                 text = t.as_py()
                 if not names or text is None or not any(map(str.isalpha, text)):
                     lang.append("und"), score.append(0.0), rejected.append(True)
@@ -78,7 +79,11 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
                 lang.append(sizes[0][1])
                 score.append(1 / (1 + math.exp(-min(second - best, 700))))
                 rejected.append(second - best <= min_margin * best)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
+            made = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), *made], names=[f.name for f in schema])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    rows = docs.select(*keep) if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    at = rows.columns.index("text")
+    kept = range(len(rows.columns)) if keep else [0]
+    schema = T.StructType([rows.schema[k] for k in kept]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    return rows.mapInArrow(run, schema)

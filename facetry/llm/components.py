@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         near = both.join(labels, F.col("u") == F.col("node")).groupBy("v").agg(F.min("label").alias("near"))
         step = labels.join(near, F.col("node") == F.col("v"), "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = step.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))  # plain on both sides, so a hot label can be split
         labels = checkpoint(step.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")))
         moved = labels.where("old != label").limit(1).count()
         labels = labels.select("node", "label")

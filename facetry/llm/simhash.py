@@ -163,7 +163,8 @@ def links(classes: DataFrame, masks: list[list[int]], words: int, max_distance:
                 yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0)], names=["key", "node"])
 
     keys = classes.select("node", "fp").mapInArrow(keyed, "key long, node long")
-    counts = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # stored, so that the join below has plain shuffles on both sides and a hot key can be split
+    counts = stash(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key-counts")
     parts = F.ceil(F.col("n") / BLOCK_ROWS)
     units = (
         keys.join(counts, "key")

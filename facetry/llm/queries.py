@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html
+from . import chat, decontam, html, suffixes
 from .common import table
 from .language import held_out, identify, learn
 from .licenses import scan_licenses
@@ -15,7 +15,6 @@ from .lines import dedup_lines
 from .media import media_features, to_media
 from .packing import pack
 from .simhash import simhash_classes
-from .suffixes import dedup_substrings
 
 
 def tokenizer_path() -> str:
@@ -53,7 +52,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without 100-byte strings that start earlier."""
-    found = dedup_substrings(table(spark, sf_dir, "documents"))
+    found = suffixes.dedup_substrings(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
@@ -95,4 +94,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontam.SQL, "op9_chat": chat.SQL}
+    return {"op5_decontamination": decontam.SQL, "op6_suffix_dedup": suffixes.SQL, "op9_chat": chat.SQL}

@@ -9,6 +9,10 @@ surroundings need to be compared byte by byte:
 2. per gram and digest the first occurrence; later ones are removed whole, without their bytes being shipped;
 3. grams with several digests: the suffixes of the first occurrences are sorted into front-coded runs, exchanged, and
    merged by a loser tree that carries common prefix lengths; windows of neighbours in that order are then compared.
+
+A gram may stand in a third of all texts, each time in other surroundings; its suffixes would all meet in one task. The
+windows of such hot grams are digested one by one instead, and meet by digest like the copies of step 2: exact as well,
+in more rows, and spread over the cluster. A sample of documents tells which grams are hot; only the way depends on it.
 """
 
 from __future__ import annotations
@@ -33,6 +37,9 @@ SPAN = WINDOW - GRAM + 1
 #: Bytes hashed at once, and bytes of suffixes that a task sorts into one run for each target.
 SEGMENT, RUN_BYTES = 1 << 20, 8 << 20
 
+#: Occurrences from which a gram is hot, and the share of documents (one in so many) by which they are estimated.
+HOT, SAMPLE = 50_000, 16
+
 _PLACE = np.uint64((1 << 21) - 1)
 _ODD = 0x9E3779B97F4A7C15 | 1
 _ENTRY = struct.Struct("<HHHqq")
@@ -88,13 +95,17 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int
         yield held
 
 
-def anchor_rows(texts: DataFrame, combine: bool) -> DataFrame:
+def anchor_rows(texts: DataFrame, combine: bool, hot: frozenset[int] = frozenset()) -> DataFrame:
     """(h, ctx, doc, at[, n]) per anchor; combine: one row for equal (h, ctx) of a segment, the first, with their number.
 
+    For anchors whose gram is hot, a row for each of their windows, (h, ctx) being the window's own 128-bit digest.
+
     at packs the anchor's position with the distances to the first and between the window starts it serves, so equal
     documents order by position.
     """
 
+    grams = np.array(sorted(hot), np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _segments(batches):
             raw = b"".join(p for _, _, p in held)
@@ -103,6 +114,14 @@ def anchor_rows(texts: DataFrame, combine: bool) -> DataFrame:
             k, pos, p0, p1, h = anchors(np.frombuffer(raw, np.uint8), spans)
             digest = xxhash.xxh3_64_intdigest
             ctx = np.array([digest(raw[a:b]) for a, b in zip(p0.tolist(), (p1 + WINDOW).tolist())], np.uint64).view(np.int64)
+            if len(grams) and (each := np.isin(h, grams)).any():
+                n = (p1 - p0 + 1)[each]
+                start = np.repeat(p0[each] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[a : a + WINDOW]) for a in start.tolist()]), np.int64).reshape(-1, 2)
+                rest = ~each
+                k = np.concatenate([k[rest], np.repeat(k[each], n)])
+                h, ctx = np.concatenate([h[rest], both[:, 0]]), np.concatenate([ctx[rest], both[:, 1]])
+                pos, p0, p1 = (np.concatenate([x[rest], start]) for x in (pos, p0, p1))
             doc = np.array([d for d, _, _ in held], np.int64)[k]
             shift = np.array([base - s for (_, base, _), (s, _) in zip(held, spans)], np.int64)[k]
             at = ((pos + shift) << 14) | ((pos - p0) << 7) | (p1 - p0)
@@ -275,10 +294,13 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     small_batches(spark, 500)
     least = F.lit(-(1 << 63)).cast("long")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("doc"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    firsts = anchor_rows(texts, combine=True).repartition("h").groupBy("h", "ctx").agg(F.min(F.struct("doc", "at")).alias("first"), F.sum("n").alias("n"))
+    part = anchor_rows(texts.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0), combine=True)
+    # at most one gram per HOT / SAMPLE anchors of the sample
+    hot = frozenset(r["h"] for r in part.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") * SAMPLE >= HOT).select("h").collect())
+    firsts = anchor_rows(texts, combine=True, hot=hot).repartition("h").groupBy("h", "ctx").agg(F.min(F.struct("doc", "at")).alias("first"), F.sum("n").alias("n"))
     firsts = firsts.withColumn("unlike", F.count("*").over(W.partitionBy("h"))).where("n > 1 or unlike > 1")
     firsts = stash(firsts.select("h", "ctx", "first.doc", "first.at", "n", "unlike"), "first-anchors")
-    copies = anchor_rows(texts, combine=False).join(firsts.where("n > 1").select("h", "ctx", F.col("doc").alias("doc1"), F.col("at").alias("at1")), ["h", "ctx"])
+    copies = anchor_rows(texts, combine=False, hot=hot).join(firsts.where("n > 1").select("h", "ctx", F.col("doc").alias("doc1"), F.col("at").alias("at1")), ["h", "ctx"])
     copies = copies.where("doc > doc1 or (doc = doc1 and at > at1)")
     whole = copies.select("doc", F.expr("shiftleft(shiftright(at, 14) - (shiftright(at, 7) & 127), 8) | (at & 127)").alias("cut"))
     targets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -320,3 +342,16 @@ def brute_force(rows: list[tuple[int, bytes]], window: int = WINDOW) -> dict[int
         kept = bytes(x for x, g in zip(data, gone) if not g)
         out[doc_id] = (len(data), sum(gone), sum(1 for p in range(len(gone)) if gone[p] and not (p and gone[p - 1])), hashlib.sha256(kept).hexdigest())
     return out
+
+
+SQL = f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+part AS (SELECT doc_id, q * 1024 AS base, b[q * 1024 + 1:q * 1024 + {1024 + WINDOW - 1}] AS part FROM d, unnest(range(0, n // 1024 + 1)) u(q)),
+w AS (SELECT doc_id, base + p AS p, md5(part[p + 1:p + {WINDOW}]) AS k FROM part, unnest(range(0, greatest(0, least(1024, octet_length(part) - {WINDOW - 1})))) t(p)),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS r FROM w) WHERE r > 1),
+marked AS (SELECT doc_id, p, (coalesce(p > lag(p) OVER o + {WINDOW}, true))::INT AS fresh FROM later WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+runs AS (SELECT doc_id, min(p) AS s, max(p) + {WINDOW} AS e FROM (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked) GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, s, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM runs),
+cut AS (SELECT doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(hex(b[before + 1:s]), '' ORDER BY s) AS kept FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(unhex(kept) || b[last + 1:n], b)) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)
+"""

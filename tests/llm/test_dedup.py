@@ -185,6 +185,14 @@ def test_suffixes_equal_definition(make, repeats):
     assert suffix_rows(suffixes.dedup_substrings(make(repeats).repartition(5))) == want
 
 
+def test_hot_grams_take_the_other_way(make, repeats, monkeypatch):
+    want = suffixes.brute_force([(d, (t or "").encode()) for d, t in repeats])
+    monkeypatch.setattr(suffixes, "SAMPLE", 1)
+    for limit in (1, 20):  # all grams, and the frequent ones
+        monkeypatch.setattr(suffixes, "HOT", limit)
+        assert suffix_rows(suffixes.dedup_substrings(make(repeats).repartition(3))) == want
+
+
 def test_suffixes_in_small_segments(make, repeats, monkeypatch):
     """Texts cut into many segments, and many runs for each target, give the same."""
     import facetry.llm.suffixes as s

@@ -15,8 +15,8 @@ from facetry.llm.queries import tokenizer_path
 ORACLE_SQL = None
 
 #: Near duplicates: 256-bit SimHash of distinct five-word shingles. Texts of Jaccard similarity 0.8 differ in 39 bits on average.
-#: Keys of 22 bits keep chance agreements of unlike texts few; some bits more than log2 of the documents are enough for that.
-NEAR_BITS, NEAR_BANDS, BAND_BITS = 44, 80, 22
+#: Keys of 23 bits keep chance agreements of unlike texts few; some bits more than log2 of the documents are enough for that.
+NEAR_BITS, NEAR_BANDS, BAND_BITS = 44, 88, 23
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

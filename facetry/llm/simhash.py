@@ -201,7 +201,11 @@ def links(classes: DataFrame, masks: list[list[int]], words: int, max_distance:
 
     # sorted by node as well, the smallest node is the root of a unit's forest, so units that overlap give equal links
     dealt = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    # A node has at most one root per unit it is in. Its other roots are tied to the smallest one in its place, which
+    # keeps what is connected and leaves about two links a node.
+    roots = dealt.mapInArrow(compare, "a long, b long").groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("roots"))
+    tied = roots.select("b", F.element_at("roots", 1).alias("a"), F.explode("roots").alias("root"))
+    return tied.select("a", F.when(F.col("a") == F.col("root"), F.col("b")).otherwise(F.col("root")).alias("b")).distinct()
 
 
 def simhash_classes(docs: DataFrame, width: int = 4, words: int = 1, max_distance: int = 4, masks: list[list[int]] | None = None, repeats: bool = True) -> DataFrame:

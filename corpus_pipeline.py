@@ -27,7 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without blocks of lines that an earlier one has; n_chars follows the text."""
-    out = lines.without(docs, lines.removed_runs(docs))
+    out = lines.without(docs, lines.removed_runs(docs, rare=None))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -25,8 +25,8 @@ def tokenizer_path() -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the blocks of lines that it shares with an earlier one."""
-    return dedup_lines(table(spark, sf_dir, "documents"))
+    """Every document without the blocks of lines that it shares with an earlier one, however common the lines are."""
+    return dedup_lines(table(spark, sf_dir, "documents"), rare=None)
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

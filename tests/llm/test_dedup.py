@@ -160,6 +160,26 @@ def test_common_line_alone_stays(make):
     assert got[29].endswith(notice) and got[51] == "own words of fifty-one here"
 
 
+def test_queries_pair_lines_of_any_frequency(spark, make, tmp_path):
+    """op1 and the stage take a passage of 15 documents from all later ones, and a block whose lines are first seen apart."""
+    import corpus_pipeline as cp
+    from facetry.llm import queries
+
+    passage, one, two = "a passage of one line that many documents hold", "the first line of a common block", "the second line of a common block"
+    rows = [(k, f"own words of document number {k}\n{passage}") for k in range(15)]
+    rows += [(k, f"words of document {k} alone here\n{one if k % 2 else two}") for k in range(20, 44)] + [(k, f"{one}\n{two}\nwords that only {k} has in it") for k in range(50, 65)]
+    make(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    want = lines_by_definition(rows, rare=len(rows))
+    assert want[14] == "own words of document number 14" and want[64] == "words that only 64 has in it"
+    assert {r.doc_id: r.text for r in queries.op1_line_dedup(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.text for r in cp.dedup_lines(spark, make(rows), "").collect()} == want
+
+
+def test_lines_of_any_frequency_equal_definition(sf_docs):
+    rows = [(r.doc_id, r.text) for r in sf_docs.collect()]
+    assert {r.doc_id: r.text for r in lines.dedup_lines(sf_docs, rare=None).collect()} == lines_by_definition(rows, rare=len(rows))
+
+
 @pytest.fixture(scope="module")
 def repeats():
     rng = random.Random(4)

@@ -14,9 +14,9 @@ from facetry.llm.queries import tokenizer_path
 #: No stage but decontamination is expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
-#: Near duplicates: 256-bit SimHash of distinct five-word shingles. Texts of Jaccard similarity 0.8 differ in 39 bits on average.
-#: Keys of 23 bits keep chance agreements of unlike texts few; some bits more than log2 of the documents are enough for that.
-NEAR_BITS, NEAR_BANDS, BAND_BITS = 44, 88, 23
+#: Near duplicates: 256-bit SimHash of distinct five-word shingles. Texts of Jaccard similarity 0.8 differ in 39 bits on average,
+#: with a deviation of 6, and unlike texts in 128, with one of 8. So 80 bits keep every candidate; the exact similarity decides.
+NEAR_BITS, NEAR_PERCENT = 80, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +32,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each class of near duplicates; documents without doc_id aren't judged and stay."""
-    masks = simhash.band_masks(4, NEAR_BANDS, BAND_BITS)
-    found = simhash.simhash_classes(docs, width=5, words=4, max_distance=NEAR_BITS, masks=masks, repeats=False)
+    """One document, the smallest doc_id, of each class linked by similarity; documents without doc_id aren't judged and stay."""
+    found = simhash.jaccard_classes(docs, width=5, words=4, max_distance=NEAR_BITS, percent=NEAR_PERCENT)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return first_per_id(docs.join(bounded(stash(gone, "near-duplicates")), "doc_id", "left_anti").select(*docs.columns))
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash
+from .common import bounded, small_batches, stash
 from .components import connected_components
 
 #: Most rows of one block of a candidate group that a task compares with another block.
@@ -20,6 +20,10 @@ BLOCK_ROWS = 2048
 PAIRS_AT_ONCE = 1 << 20
 #: Reference fingerprints of the distance tables.
 PIVOTS = 24
+#: Most rows of one block of a component whose shingle sets a task compares with another block.
+SET_ROWS = 1024
+#: Documents sampled for frequent shingles, and most of these.
+SAMPLE_ROWS, HOT_SHINGLES = 5000, 50_000
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
 
@@ -62,6 +66,11 @@ def fingerprint(text: bytes, width: int = 4, words: int = 1, repeats: bool = Tru
     octets = np.frombuffer(shingle_digests(text, width), np.uint8).reshape(-1, 8)
     if not repeats:
         octets = np.unique(octets.reshape(-1).view("u8")).view(np.uint8).reshape(-1, 8)
+    return _majority(octets, words)
+
+
+def _majority(octets: np.ndarray, words: int) -> bytes:
+    """SimHash of 64 x ``words`` bits of shingle hashes, rows of 8 bytes."""
     n = len(octets)
     if not n:
         return bytes(8 * words)
@@ -72,6 +81,11 @@ def fingerprint(text: bytes, width: int = 4, words: int = 1, repeats: bool = Tru
     return b"".join(np.packbits(_counts(p) * 2 > n).tobytes() for p in parts)
 
 
+def distinct_shingles(text: bytes, width: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending."""
+    return np.unique(np.frombuffer(shingle_digests(text, width), ">u8").astype(np.uint64))
+
+
 def fingerprints(docs: DataFrame, width: int = 4, words: int = 1, repeats: bool = True) -> DataFrame:
     """(doc_id, fp binary) for every row; a null text counts as empty, whose fingerprint is zero."""
     small_batches(docs.sparkSession)
@@ -147,9 +161,7 @@ def _linked(fps: np.ndarray, group: np.ndarray, own: np.ndarray, crossed: np.nda
 def links(classes: DataFrame, masks: list[list[int]], words: int, max_distance: int) -> DataFrame:
     """(a, b): links of at most ``max_distance`` bits that connect all that the masks bring together.
 
-    classes: (node long, fp binary), one row per distinct fingerprint. Rows that agree on a mask's bits form a
-    group; groups over BLOCK_ROWS are cut into blocks and each pair of blocks is one unit of work, so no task
-    gets an unbounded group. A unit gives a spanning forest of its links, never all pairs.
+    classes: (node long, fp binary), one row per distinct fingerprint. Rows that agree on a mask's bits form a group.
     """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +174,15 @@ def links(classes: DataFrame, masks: list[list[int]], words: int, max_distance:
                 key = bits[:, mask] @ (1 << np.arange(len(mask))) + (k << 32)
                 yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0)], names=["key", "node"])
 
-    keys = classes.select("node", "fp").mapInArrow(keyed, "key long, node long")
+    return group_links(classes.select("node", "fp").mapInArrow(keyed, "key long, node long"), classes, words, max_distance)
+
+
+def group_links(keys: DataFrame, classes: DataFrame, words: int, max_distance: int) -> DataFrame:
+    """(a, b): links of at most ``max_distance`` bits that connect all that shares a key. keys: (key long, node long).
+
+    Groups over BLOCK_ROWS are cut into blocks and each pair of blocks is one unit of work, so no task gets an
+    unbounded group. A unit gives a spanning forest of its links, never all pairs.
+    """
     # stored, so that the join below has plain shuffles on both sides and a hot key can be split
     counts = stash(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key-counts")
     parts = F.ceil(F.col("n") / BLOCK_ROWS)
@@ -225,3 +245,102 @@ def simhash_classes(docs: DataFrame, width: int = 4, words: int = 1, max_distanc
     labels = connected_components(found, "a", "b")
     named = classes.join(labels, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def _hot_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """Shingle hashes that recur in a sample of about SAMPLE_ROWS documents, ascending. They only order the prefixes: any set gives the same links."""
+    n = docs.count()
+    if not n:
+        return np.array([], np.uint64)
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE_ROWS / n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(distinct_shingles(t.as_py() or b"", width).view(np.int64))], names=["h"])
+
+    taken = docs.where(draw).select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "h long")
+    often = taken.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(HOT_SHINGLES)
+    return np.sort(np.array([r["h"] for r in often.collect()], np.int64).view(np.uint64))
+
+
+def jaccard_classes(docs: DataFrame, width: int, words: int, max_distance: int, percent: int) -> DataFrame:
+    """(doc_id, component_id): documents linked by a Jaccard similarity of ``percent`` or more of their distinct shingles.
+
+    Prefixes find the candidates and lose none: in any one order of all shingles, two sets that similar share one of
+    the first n - ceil(n * percent / 100) + 1 shingles of both. Frequent shingles come last in the order. Candidates
+    within ``max_distance`` bits of SimHash meet in components; inside these every pair not yet connected is compared
+    by its exact shingle sets, in blocks of SET_ROWS. Equal sets are one node; null doc_ids are left out.
+    """
+    small_batches(docs.sparkSession)
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    hot = _hot_shingles(rows, width)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t in b.column(1):
+                s = distinct_shingles(t.as_py() or b"", width)
+                k = len(s) - (len(s) * percent + 99) // 100 + 1 if len(s) else 0
+                late = hot[np.searchsorted(hot, s) % len(hot)] == s if len(hot) else np.zeros(len(s), bool)
+                first = np.concatenate([s[~late], s[late]])[:k].view(np.int64)
+                out.append((xxhash.xxh3_128_digest(s.tobytes()), _majority(s.astype(">u8").view(np.uint8).reshape(-1, 8), words), first))
+            cols = [pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "digest", "fp", "prefix"])
+
+    made = stash(rows.mapInArrow(sets, "doc_id long, digest binary, fp binary, prefix array<long>"), "shingle-prefixes")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    named = stash(made.select("doc_id", "digest").groupBy("digest").agg(F.min("doc_id").alias("node")), "set-classes")
+    nodes = stash(made.join(named.withColumnRenamed("node", "doc_id"), ["digest", "doc_id"]).dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "digest", "fp", "prefix"), "set-nodes")
+    keys = nodes.select(F.explode("prefix").alias("key"), "node")
+    wide = stash(connected_components(group_links(keys, nodes.select("node", "fp"), words, max_distance), "a", "b"), "wide-components")
+    sizes = wide.groupBy("label").agg(F.count("*").alias("n"))
+    parts = F.ceil(F.col("n") / SET_ROWS)
+    members = stash(wide.join(sizes, "label").select("label", "node", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("own")), "wide-members")
+    small_batches(docs.sparkSession)
+    texts = rows.join(bounded(members.withColumnRenamed("node", "doc_id")), "doc_id")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [distinct_shingles(t.as_py() or b"", width).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(k) for k in (2, 3, 4)), pa.array(kept, pa.binary())], names=["node", "label", "parts", "own", "s"])
+
+    held = texts.select("doc_id", "text", "label", "parts", "own").mapInArrow(whole, "node long, label long, parts long, own long, s binary")
+    units = held.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    units = units.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "s")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(unit: list[tuple[int, int, np.ndarray]], crossed: bool) -> pa.RecordBatch:
+            own, n = np.array([u[0] for u in unit]), np.array([len(u[2]) for u in unit])
+            labels, ends = np.arange(len(unit)), []
+            for y, (_, node, s) in enumerate(unit):
+                may = 100 * np.minimum(n[:y], n[y]) >= percent * np.maximum(n[:y], n[y])
+                if crossed:
+                    may &= own[:y] != own[y]
+                x = -1
+                while len(rest := np.flatnonzero(may[x + 1 :] & (labels[x + 1 : y] != labels[y]))):
+                    for x in (rest + x + 1).tolist():
+                        both = len(np.intersect1d(s, unit[x][2], assume_unique=True))
+                        if 100 * both >= percent * (n[x] + n[y] - both):
+                            labels[labels == labels[y]] = labels[x]
+                            ends.append((unit[x][1], node))
+                            break
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in ends], pa.int64()), pa.array([b for _, b in ends], pa.int64())], names=["a", "b"])
+
+        key, unit = None, []
+        for b in batches:
+            for label, i, j, own, node, s in zip(*(b.column(k).to_pylist() for k in range(6))):
+                if (label, i, j) != key and unit:
+                    yield solve(unit, key[1] != key[2])
+                    unit = []
+                key = (label, i, j)
+                unit.append((own, node, np.frombuffer(s, np.uint64)))
+        if unit:
+            yield solve(unit, key[1] != key[2])
+
+    found = units.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "node").mapInArrow(compare, "a long, b long")
+    # unlike texts under one doc_id are one document: their nodes are tied
+    of = stash(made.select("doc_id", "digest").join(named, "digest").select("doc_id", "node"), "documents-nodes")
+    tied = of.groupBy("doc_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("bs")).where("size(bs) > 1").select("a", F.explode("bs").alias("b"))
+    labels = connected_components(stash(found.unionByName(tied), "near-links"), "a", "b")
+    return of.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("component_id"))

@@ -105,6 +105,42 @@ def test_stage_settings_find_near_copies(spark, make):
     assert all(a in kept for a, _, _ in pairs)
 
 
+def test_stage_equals_exact_similarity(spark, make, monkeypatch):
+    """Every pair of similarity 0.8 or more is found, barely similar ones too, and none below it goes."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(3000)]
+    common = " ".join(rng.choices(vocabulary, k=30))
+    texts = {0: "", 1: None, 2: "a b", 3: "a b"}
+    for k in range(4, 400, 2):
+        words = rng.choices(vocabulary, k=rng.choice([8, 30, 150, 400]))
+        copy = list(words)
+        for at in rng.sample(range(len(words)), max(1, len(words) * rng.choice([15, 20, 25, 30, 40]) // 1000)):
+            copy[at] = rng.choice(vocabulary)
+        tail = [common] if k % 3 == 0 else []
+        texts |= {k: " ".join(words + tail), k + 1: " ".join(copy + tail)}
+    grams = {d: {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} for d, t in texts.items() if (ws := (t or "").split()) or True}
+    up = {d: d for d in texts}
+
+    def find(d):
+        return d if up[d] == d else find(up[d])
+
+    near = far = 0
+    for b in grams:
+        for a in range(b):
+            j = len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+            near, far = near + (0.8 <= j < 0.86), far + (0.65 <= j < 0.8)
+            if j >= 0.8:
+                x, y = sorted((find(a), find(b)))
+                up[y] = x
+    assert near > 15 and far > 15
+    for rows in (1024, 2):
+        monkeypatch.setattr(simhash, "SET_ROWS", rows)
+        kept = {r.doc_id for r in cp.drop_near_duplicates(spark, make(list(texts.items())), "").collect()}
+        assert kept == {find(d) for d in texts}
+
+
 def test_patience():
     a, b = [1, 2, 3, 4, 5, 9], [1, 7, 3, 4, 8, 9]
     assert lines.patience(a, b) == [(0, 0), (2, 2), (3, 3), (5, 5)]

@@ -21,6 +21,8 @@ LEVEL = 6
 MIN_MARGIN = 0.002
 #: Texts under SHORT bytes follow this many bytes of the dictionary's own end: zstandard stores a tiny frame raw otherwise.
 SHORT, LEAD = 300, 400
+#: Longer texts are compressed in blocks of so many bytes, each with the whole dictionary: what that saves, and so the margin, grows with the text.
+BLOCK_BYTES = 1 << 16
 
 
 def held_out(doc_id: Column) -> Column:
@@ -54,7 +56,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
 
     A null text, one without a letter, or no learned language: ``und``, score 0, rejected. Ties go to the first
     language by name and are rejected. score is the logistic of the bytes saved over the second best language.
-    Texts are compressed whole, whatever their length; only ``text`` enters a prediction.
+    All of a text is compressed, whatever its length, in blocks of BLOCK_BYTES; only ``text`` enters a prediction.
     """
     small_batches(docs.sparkSession)
     names = sorted(dictionaries)
@@ -74,7 +76,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
                     continue
                 data = text.lower().encode()
                 short = len(data) < SHORT
-                sizes = sorted((len(c.compress(dictionaries[k][-LEAD:] + b" " + data if short else data)), k) for c, k in zip(coders, names))
+                parts = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
+                sizes = sorted((sum(len(c.compress(dictionaries[k][-LEAD:] + b" " + x if short else x)) for x in parts), k) for c, k in zip(coders, names))
                 best, second = sizes[0][0], sizes[1][0] if len(sizes) > 1 else math.inf
                 lang.append(sizes[0][1])
                 score.append(1 / (1 + math.exp(-min(second - best, 700))))

@@ -145,6 +145,17 @@ def test_language_accuracy(sf_docs):
     assert n > 200 and hit > 0.95 and rejected < 0.02
 
 
+def test_very_long_text_keeps_its_language(sf_docs, make):
+    """5 MB of one language is told with a margin."""
+    known = language.learn(sf_docs)
+    rows = []
+    for k, lang in enumerate(sorted(known)):
+        words = " ".join(r.text for r in sf_docs.where((F.col("lang") == lang) & F.col("text").isNotNull()).orderBy("doc_id").collect()).split()
+        rows.append((k, " ".join(random.Random(k).choices(words, k=900_000))[:5_000_000]))
+    got = {r.doc_id: r for r in language.identify(make(rows), known).collect()}
+    assert [(got[k].lang_pred, got[k].rejected) for k, _ in rows] == [(x, False) for x in sorted(known)]
+
+
 def test_language_edges(make, edge_rows, spark):
     found = language.identify(make(edge_rows), {"de": b"der die das und ist ein", "en": b"the a of and is in quick brown"}).collect()
     by = {r.doc_id: r for r in found if r.doc_id is not None}

@@ -36,7 +36,9 @@ def sketches(items: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tu
     """
     w = items.where("item_id is not null").select("item_id", _words("text").alias("w"))
     sh = w.select("item_id", F.array_distinct(_shingles("w", width, lambda *x: F.concat_ws(" ", *x))).alias("s"), F.array_sort(F.array_distinct(_shingles("w", width, F.xxhash64))).alias("h"))
-    sized = sh.where("size(s) > 0").select("*", F.size("s").alias("total"))
+    # rows of one item_id are one item: its shingles are the union of theirs
+    sh = sh.where("size(s) > 0").groupBy("item_id").agg(F.array_distinct(F.flatten(F.collect_set("s"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("h")))).alias("h"))
+    sized = sh.select("*", F.size("s").alias("total"))
     upper = F.expr("shiftleft(1, cast(floor(log2(total)) as int) + 1) - 1")
     miss = F.col("total") - _least(F.col("total"), percent)
     k = F.least(F.col("total"), upper - _least(upper, percent) + 1)

@@ -230,6 +230,19 @@ def test_contamination_threshold(spark, make):
         assert {(r.doc_id, r.item_id) for r in got} == want
 
 
+def test_contamination_of_repeated_items_equals_sql(spark, make):
+    """Rows of one item, equal or not, count as one: shared, total and the threshold are those of the SQL."""
+    words = [f"w{k}" for k in range(40)]
+    items = [(1, " ".join(words[:15])), (1, " ".join(words[:15])), (2, " ".join(words[:15])), (2, " ".join(words[20:35])), (None, "a b c d e")]
+    docs = [(1, " ".join(words[:15])), (2, " ".join(words[:9])), (3, " ".join(words[:15] + ["x"] + words[20:35])), (4, " ".join(words[20:35])), (5, None)]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)"), con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    con.sql("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)"), con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    want = sorted(con.sql(decontam.SQL).fetchall())
+    got = decontam.contamination(make(docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == want and [r[:2] for r in want] == [(1, 1), (3, 1), (3, 2)]
+
+
 def test_contamination_is_native(sf_docs, spark):
     plan = decontam.contamination(sf_docs, spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet"))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))

@@ -59,8 +59,9 @@ def windows(sizes: list[int], capacity: int = WINDOW) -> list[list[int]]:
 class Encoder:
     """Ids of whole texts, as little-endian 16-bit words for vocabularies that fit them.
 
-    White space always parts words of this tokenizer, and so does a change between letters and marks, so ids are
-    kept per word. A Python worker keeps them from task to task, up to WORDS_KEPT words.
+    White space always parts words of this tokenizer, and so does a change between letters and other characters, so ids
+    are kept per word. A word is cut before its trailing punctuation only if the tokenizer's own normalizer leaves letters
+    alone in what comes before. A Python worker keeps them from task to task, up to WORDS_KEPT words.
     """
 
     made: dict[str, Encoder] = {}
@@ -84,6 +85,10 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.unit).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _plain(self, core: str) -> bool:
+        """Whether a core is letters only, after normalization too (a capital with a dot gives a letter and a mark)."""
+        return core.isalpha() and (core.isascii() or self.tokenizer.normalizer.normalize_str(core).isalpha())
+
     def _letters(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters only: encoded in one go, parted after each token that ends a word."""
         ids = np.frombuffer(self._ids([" ".join(words)])[0], self.unit)
@@ -105,7 +110,7 @@ class Encoder:
         if new := set().union(*by_text).difference(found):
             if len(found) > WORDS_KEPT:
                 found = {w: self.kept[w] for w in set().union(*by_text).intersection(self.kept)}
-            parts = [(w, core, w[len(core) :]) for w in new if (core := w.rstrip(".,!?;:")).isalpha()]
+            parts = [(w, core, w[len(core) :]) for w in new if self._plain(core := w.rstrip(".,!?;:"))]
             if cores := list({core for _, core, _ in parts}.difference(found)):
                 found.update(zip(cores, self._letters(cores)))
             if rest := list({x for _, _, x in parts}.difference(found) | new.difference([w for w, _, _ in parts])):
@@ -124,7 +129,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = WINDOW) -> DataFr
     Each task packs the documents of its own partition as they pass, so nothing is shuffled: whole windows are cut
     from a document first; the rest, in near-equal pieces, waits with others until it fills about WINDOWS windows,
     which differencing then balances. sequence_id holds the partition number in its upper bits. A null text is
-    empty: its one id is END_ID. Repeated rows are packed each; a null doc_id stays null. An empty table gives no rows.
+    empty: its one id is END_ID. Repeated rows are packed each; a null doc_id stays null. Columns besides doc_id and text
+    are ignored, whatever their names. An empty table gives no rows.
     """
     small_batches(docs.sparkSession, 500)
 

@@ -139,6 +139,15 @@ def test_words_apart_equal_whole_texts():
         assert ids.tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids + [1]
 
 
+def test_words_apart_equal_whole_texts_fuzzed():
+    """Random texts of letters with and without marks, dotted capitals, punctuation, digits and spaces."""
+    e, rng = packing.Encoder.of(queries.tokenizer_path()), random.Random(12)
+    pieces = ["İ", "I", "ı", "i̇", "é", "e\u0301", "\u0301", "Σ", "ς", "ß", "ﬁ", "ǰ", "ŉ", "ΐ", "\u0345", "K", "Å", "한", "\u1112\u1161", "日", "a", "B", "z's", "'t", "1", ".", ",", "!", "?", ";", ":", "-", " ", "\n", "\t", "\u00a0", "\u200d", "ा", "क", "😀"]
+    texts = ["KÜLTÜR VE TURİZM BAKANLIĞI, ANKARA BELEDİYESİ, açıkladı."] + ["".join(rng.choices(pieces, k=rng.randint(1, 14))) for _ in range(20_000)]
+    wrong = [t for t, ids, whole in zip(texts, e(texts), e.tokenizer.encode_batch(texts, add_special_tokens=False)) if ids.tolist() != whole.ids + [1]]
+    assert wrong == []
+
+
 def test_language_accuracy(sf_docs):
     found = language.identify(sf_docs, language.learn(sf_docs)).join(sf_docs, "doc_id").where(language.held_out(F.col("doc_id")))
     hit, n, rejected = found.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int")), F.count("*"), F.avg(F.col("rejected").cast("int"))).first()

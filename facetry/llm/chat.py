@@ -14,20 +14,26 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
     the turns so far (128 bits, from position, role and text) names each prefix; a conversation whose last hash is a
     proper prefix of any other goes, and of equal ones the smallest conv_id stays. Turns count in order of turn, role
     and text (nulls first; null role or text counts as empty); fully repeated rows count once; rows without conv_id
-    belong to no conversation and are left out. Only counts per hash are shuffled across conversations.
+    belong to no conversation and are left out. Texts are shuffled once, to their conversation, and used whole, however
+    long; across conversations only hashes travel, aggregated first, so copies in any number meet as one row a task.
+    Other columns are ignored, whatever their names; an empty table gives no rows.
     """
-    clean = turns.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    clean = turns.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    clean = clean.repartition("conv_id").distinct()  # repeated rows lie in one conversation, so this needs no shuffle of its own
     w = W.partitionBy("conv_id").orderBy("turn", "role", "text")
     placed = clean.withColumn("pos", F.row_number().over(w)).withColumn("n_turns", F.count("*").over(W.partitionBy("conv_id")))
     rolled = placed.withColumn("h1", F.bit_xor(F.xxhash64("pos", "role", "text")).over(w)).withColumn("h2", F.bit_xor(F.xxhash64(F.lit("second"), "text", "role", "pos")).over(w))
     key = ["h1", "h2", "pos"]
     longer = rolled.where("pos < n_turns").select(*key).distinct()
-    last = rolled.where("pos = n_turns").join(longer, key, "left_anti").groupBy(*key).agg(F.min("conv_id").alias("conv_id"))
+    last = rolled.where("pos = n_turns").groupBy(*key).agg(F.min("conv_id").alias("conv_id")).join(longer, key, "left_anti")
     return placed.join(last.select("conv_id"), "conv_id", "left_semi")
 
 
 def render(turns: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, text): turns between <|im_start|> and <|im_end|>; a "<|" inside a turn is written "< |"."""
+    """(conv_id, n_turns, text): turns between <|im_start|> and <|im_end|>; a "<|" inside a turn is written "< |".
+
+    One row per conversation; null role or text counts as empty. Other columns are ignored; an empty table gives no rows.
+    """
     safe = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
     one = F.concat(F.lit("<|im_start|>"), safe(F.col("role")), F.lit("\n"), safe(F.col("text")), F.lit("<|im_end|>\n"))
     parts = turns.groupBy("conv_id", "n_turns").agg(F.array_sort(F.collect_list(F.struct("pos", one.alias("one")))).alias("parts"))

@@ -218,6 +218,9 @@ def test_contamination_edges(spark, make, edge_rows):
     bench = items(spark, [(1, line), (2, None), (3, ""), (4, "too few words"), (5, " ".join(words[:15])), (5, " ".join(words[:15])), (None, line), (6, "Completely, other words; that no document has!")])
     got = {(r.doc_id, r.item_id) for r in decontam.contamination(make(edge_rows), bench).collect()}
     assert got == {(d, i) for d in (4, 5, 6, 9) for i in (1, 5)}
+    tiny = items(spark, [(1, "in the old town"), (2, "Fox"), (3, "the fox"), (4, "a"), (5, "12345")])
+    got = {(r.doc_id, r.item_id, r.shared, r.containment) for r in decontam.contamination(make(edge_rows), tiny).collect()}
+    assert got == {(d, i, 1, 1.0) for d in (4, 5, 6, 9) for i in (1, 2)} | {(10, 4, 1, 1.0), (7, 5, 1, 1.0)}
     assert decontam.contamination(make([]), bench).count() == 0 and decontam.contamination(make(edge_rows), items(spark, [])).count() == 0
 
 
@@ -242,14 +245,14 @@ def test_contamination_threshold(spark, make):
 def test_contamination_of_repeated_items_equals_sql(spark, make):
     """Rows of one item, equal or not, count as one: shared, total and the threshold are those of the SQL."""
     words = [f"w{k}" for k in range(40)]
-    items = [(1, " ".join(words[:15])), (1, " ".join(words[:15])), (2, " ".join(words[:15])), (2, " ".join(words[20:35])), (None, "a b c d e")]
+    items = [(1, " ".join(words[:15])), (1, " ".join(words[:15])), (2, " ".join(words[:15])), (2, " ".join(words[20:35])), (None, "a b c d e"), (7, "w2, w3"), (8, "W39")]
     docs = [(1, " ".join(words[:15])), (2, " ".join(words[:9])), (3, " ".join(words[:15] + ["x"] + words[20:35])), (4, " ".join(words[20:35])), (5, None)]
     con = duckdb.connect()
     con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)"), con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
     con.sql("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)"), con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
     want = sorted(con.sql(decontam.SQL).fetchall())
     got = decontam.contamination(make(docs), spark.createDataFrame(items, "item_id long, text string"))
-    assert sorted(tuple(r) for r in got.collect()) == want and [r[:2] for r in want] == [(1, 1), (3, 1), (3, 2)]
+    assert sorted(tuple(r) for r in got.collect()) == want and [r[:2] for r in want] == [(1, 1), (1, 7), (2, 7), (3, 1), (3, 2), (3, 7)]
 
 
 def test_contamination_is_native(sf_docs, spark):
@@ -268,6 +271,21 @@ def test_chat_edges(spark):
     assert got[1] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n"
     assert got[5].count("<|im_end|>") == 1 and got[6].count("im_start") == 1
     assert chat.render(chat.maximal_conversations(t.limit(0))).count() == 0
+    long = "word " * 400_000
+    rows = [(k, p, "user", f"{p} {long}") for k in range(3) for p in range(1 + k % 2)]
+    got = chat.render(chat.maximal_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert [(r.conv_id, len(r.text)) for r in got] == [(1, 2 * (len(long) + 30))]
+
+
+def test_chat_shuffles_texts_once(spark):
+    t = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = chat.maximal_conversations(t)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("hashpartitioning(conv_id") - plan.count("ReusedExchange") <= 2 and "hashpartitioning(conv_id#" in plan
+    assert "turn#" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "conv_id" not in x)
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href=x>Menu</a></ul></nav><!-- c -->

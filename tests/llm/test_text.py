@@ -165,6 +165,14 @@ def test_very_long_text_keeps_its_language(sf_docs, make):
     assert [(got[k].lang_pred, got[k].rejected) for k, _ in rows] == [(x, False) for x in sorted(known)]
 
 
+def test_dictionaries_learn_from_whole_texts(make):
+    """A word that stands at the end of long texts enters the dictionary; held-out rows teach nothing."""
+    rows = [(k, "filler " * 3000 + "lastword") for k in range(12)]
+    held = [k for k, _ in rows if zlib.crc32(str(k).encode()) % 4 == 2]
+    assert held and language.learn(make(rows))["en"].split() == [b"filler", b"lastword"]
+    assert language.learn(make([r for r in rows if r[0] in held])) == {}
+
+
 def test_language_edges(make, edge_rows, spark):
     found = language.identify(make(edge_rows), {"de": b"der die das und ist ein", "en": b"the a of and is in quick brown"}).collect()
     by = {r.doc_id: r for r in found if r.doc_id is not None}
@@ -174,6 +182,9 @@ def test_language_edges(make, edge_rows, spark):
     assert by[5].lang_pred == "en" and 0 <= by[5].score <= 1
     assert language.learn(make([])) == {} and language.learn(make([(1, None)])) == {}
     assert {r.lang_pred for r in language.identify(make([(1, "abc")]), {}).collect()} == {"und"}
+    tie = language.identify(make([(1, "xyz qrs"), (1, "xyz qrs")]), {"b": b"same words here", "a": b"same words here"}).collect()
+    assert [(r.lang_pred, r.score, r.rejected) for r in tie] == [("a", 0.5, True)] * 2
+    assert language.identify(make([]), {"en": b"the a of and"}).count() == 0
     unlabelled = make(edge_rows).withColumn("lang", F.lit(None).cast("string"))
     assert language.learn(unlabelled) == {}
 

@@ -2,6 +2,7 @@
 
 import os
 import random
+import textwrap
 import zlib
 
 import duckdb
@@ -199,24 +200,66 @@ def test_licenses_on_tables(sf_docs):
 
 @pytest.mark.parametrize("form", sorted(licenses.TEMPLATES))
 def test_templates_find_themselves(form):
+    """On a line of its own, wrapped at 30 columns, and within one long line of prose, before, after and between other words."""
     s = licenses.Scanner(licenses.TEMPLATES)
-    text = licenses.TEMPLATES[form]
-    wrapped = "\n".join([text[: len(text) // 2].rsplit(" ", 1)[0], text[len(text[: len(text) // 2].rsplit(" ", 1)[0]) + 1 :]])
-    assert s.scan("some words\n" + text)[0][:2] == (1, form)
-    if len(licenses._words(text)) > 15:
-        assert s.scan(wrapped)[0][1] == form
+    text, prose = licenses.TEMPLATES[form], " ".join(f"word{k} and more" for k in range(60))
+    for before, own, after in (("some words\n", text, ""), ("", textwrap.fill(text, 30, break_on_hyphens=False, break_long_words=False), ""), (prose + " ", text, " " + prose), (prose + "\n", textwrap.fill(text, 30, break_on_hyphens=False, break_long_words=False), "\n" + prose)):
+        found = s.scan(before + own + after)
+        assert [f[2] for f in found] == [form] and found[0][4] == 0
+        assert (before + own + after)[found[0][0] : found[0][1]].rstrip(".:") == own.rstrip(".:")
+
+
+def test_several_notices_in_one_line():
+    s = licenses.Scanner(licenses.TEMPLATES)
+    line = " and then some prose goes on ".join(licenses.TEMPLATES[k] for k in ("MIT/short", "GPL-3.0/short", "Apache-2.0/notice", "MIT/short"))
+    assert [f[2] for f in s.scan(line)] == ["MIT/short", "GPL-3.0/short", "Apache-2.0/notice", "MIT/short"]
 
 
 def test_license_wording_decides():
     s = licenses.Scanner(licenses.TEMPLATES)
-    assert s.scan("This work is licensed under the GNU General Public License, version 2.")[0][1] == "GPL-2.0/short"
+    assert s.scan("This work is licensed under the GNU General Public License, version 2.")[0][2] == "GPL-2.0/short"
     assert s.scan("copyright is a word in this sentence and nothing more than that") == []
+    changed = licenses.TEMPLATES["MIT/full"].replace("free of charge", "at no cost").replace("NONINFRINGEMENT", "TITLE")
+    (_, _, form, _, differ, missing, extra) = s.scan(f"Copyright (c) 2020 Some One\n\n{changed}\n\nint main")[0]
+    assert form == "MIT/full" and differ == 4 and missing == "free of charge noninfringement" and extra == "at no cost title"
+
+
+def licenses_by_definition(text, s):
+    """Every word position and every template: the best confirmed notice at each place, without cue, bag or compression."""
+    words, out, end = licenses._words(text), [], 0
+    for x in range(len(words)):
+        if x < end:
+            continue
+        best = None
+        for k, want in s.words.items():
+            have = words[x : x + len(want)]
+            if have[:1] == want[:1] and have == want and (best is None or len(want) > len(s.words[best])):
+                best = k
+        if best:
+            out.append(best)
+            end = x + len(s.words[best])
+    return out
+
+
+def test_license_scan_equals_definition(sf_docs):
+    """Planted anywhere in real texts, exact notices are found as by comparing all templates at all words."""
+    s, rng = licenses.Scanner(licenses.TEMPLATES), random.Random(8)
+    forms = sorted(licenses.TEMPLATES)
+    for r in sf_docs.where("doc_id < 120 and text is not null").collect():
+        words = r.text.split(" ")
+        for _ in range(rng.randint(0, 3)):
+            words.insert(rng.randint(0, len(words)), licenses.TEMPLATES[rng.choice(forms)])
+        text = " ".join(words)
+        assert [f[2] for f in s.scan(text)] == licenses_by_definition(text, s)
 
 
 def test_license_edges(make, edge_rows):
     assert licenses.scan_licenses(make(edge_rows)).count() == 0 and licenses.scan_licenses(make([])).count() == 0
     twice = licenses.scan_licenses(make([(1, "Released under the MIT License."), (1, "Released under the MIT License."), (None, "Released under the MIT License.")]))
     assert twice.count() == 3
+    long = "one long line of prose without end " * 50_000
+    got = licenses.scan_licenses(make([(1, f"{long} Licensed under CC BY 4.0. {long}"), (2, "copyright " * 3_000)])).collect()
+    assert [(r.doc_id, r.line, r.license, r.start) for r in got] == [(1, 0, "CC-BY-4.0", len(long) + 1)]
 
 
 def items(spark, rows):

@@ -12,7 +12,8 @@ surroundings need to be compared byte by byte:
 
 A gram may stand in a third of all texts, each time in other surroundings; its suffixes would all meet in one task. The
 windows of such hot grams are digested one by one instead, and meet by digest like the copies of step 2: exact as well,
-in more rows, and spread over the cluster. A sample of documents tells which grams are hot; only the way depends on it.
+in more rows, and spread over the cluster. A sample of documents tells the hottest grams beforehand, a bounded number;
+any other gram with too many first occurrences for one merge goes the same way after step 2. Only the way depends on it.
 """
 
 from __future__ import annotations
@@ -37,8 +38,9 @@ SPAN = WINDOW - GRAM + 1
 #: Bytes hashed at once, and bytes of suffixes that a task sorts into one run for each target.
 SEGMENT, RUN_BYTES = 1 << 20, 8 << 20
 
-#: Occurrences from which a gram is hot, and the share of documents (one in so many) by which they are estimated.
-HOT, SAMPLE = 50_000, 16
+#: First occurrences from which a gram is hot, suffixes that a merge takes on average, and the share of documents (one in
+#: so many) that tells the hottest grams beforehand: those of one anchor in HOTTEST or more, so at most HOTTEST of them.
+HOT, MERGED, SAMPLE, HOTTEST = 50_000, 50_000, 16, 100_000
 
 _PLACE = np.uint64((1 << 21) - 1)
 _ODD = 0x9E3779B97F4A7C15 | 1
@@ -237,6 +239,25 @@ def _later_windows(group: list[tuple[int, bytes, bytes, int, int]]) -> Iterator[
                 yield place[0], (place[1] - r) << 8
 
 
+def digested_windows(reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc, cut) as merged_windows gives, but every window meets its like by a 128-bit digest: for grams of any number of first occurrences."""
+    by_doc = reps.groupBy("doc").agg(F.collect_list("at").alias("marks"))
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, text, marks in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                data, at = text.as_py(), marks.values.to_numpy()
+                first, n = (at >> 14) - ((at >> 7) & 127), (at & 127) + 1
+                start = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[a : a + WINDOW]) for a in start.tolist()]), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.full(len(start), doc)), pa.array(start)], names=["d1", "d2", "doc", "start"])
+
+    every = texts.join(by_doc, "doc").select("doc", "text", "marks").mapInArrow(digests, "d1 long, d2 long, doc long, start long")
+    first = every.groupBy("d1", "d2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = stash(first.select("d1", "d2", "first"), "first-windows")  # both sides of the join are then plain shuffles, so a hot window can be split
+    return every.join(first, ["d1", "d2"]).where(F.struct("doc", "start") > F.col("first").cast("struct<doc: bigint, start: bigint>")).select("doc", F.shiftleft("start", 8).alias("cut"))
+
+
 def merged_windows(reps: DataFrame, texts: DataFrame, targets: int) -> DataFrame:
     """(doc, cut) for the windows of first occurrences that an unlike first occurrence of the same gram has earlier.
 
@@ -295,16 +316,21 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     least = F.lit(-(1 << 63)).cast("long")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("doc"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     part = anchor_rows(texts.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0), combine=True)
-    # at most one gram per HOT / SAMPLE anchors of the sample
-    hot = frozenset(r["h"] for r in part.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") * SAMPLE >= HOT).select("h").collect())
+    part = stash(part.groupBy("h").agg(F.sum("n").alias("n")), "sampled-grams")
+    total = part.agg(F.sum("n")).first()[0] or 0
+    hot = frozenset(r["h"] for r in part.where((F.col("n") * SAMPLE >= HOT) & (F.col("n") * HOTTEST >= total)).select("h").collect())
     firsts = anchor_rows(texts, combine=True, hot=hot).repartition("h").groupBy("h", "ctx").agg(F.min(F.struct("doc", "at")).alias("first"), F.sum("n").alias("n"))
     firsts = firsts.withColumn("unlike", F.count("*").over(W.partitionBy("h"))).where("n > 1 or unlike > 1")
     firsts = stash(firsts.select("h", "ctx", "first.doc", "first.at", "n", "unlike"), "first-anchors")
     copies = anchor_rows(texts, combine=False, hot=hot).join(firsts.where("n > 1").select("h", "ctx", F.col("doc").alias("doc1"), F.col("at").alias("at1")), ["h", "ctx"])
     copies = copies.where("doc > doc1 or (doc = doc1 and at > at1)")
-    whole = copies.select("doc", F.expr("shiftleft(shiftright(at, 14) - (shiftright(at, 7) & 127), 8) | (at & 127)").alias("cut"))
-    targets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = whole.unionByName(merged_windows(firsts.where("unlike > 1").select("h", "doc", "at"), texts, targets))
+    cuts = copies.select("doc", F.expr("shiftleft(shiftright(at, 14) - (shiftright(at, 7) & 127), 8) | (at & 127)").alias("cut"))
+    few, many = firsts.where(F.col("unlike").between(2, HOT)), firsts.where(F.col("unlike") > HOT)
+    if n := few.count():
+        targets = max(-(-n // MERGED), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        cuts = cuts.unionByName(merged_windows(few.select("h", "doc", "at"), texts, targets))
+    if not many.isEmpty():
+        cuts = cuts.unionByName(digested_windows(many.select("doc", "at"), texts))
     cuts = cuts.groupBy("doc").agg(F.collect_list("cut").alias("cuts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -261,11 +261,13 @@ def test_suffixes_equal_definition(make, repeats):
     assert suffix_rows(suffixes.dedup_substrings(make(repeats).repartition(5))) == want
 
 
-def test_hot_grams_take_the_other_way(make, repeats, monkeypatch):
+def test_hot_grams_take_the_other_ways(make, repeats, monkeypatch):
+    """The same bytes go whether grams are digested before or after the first aggregation, all or the frequent ones, or merged."""
     want = suffixes.brute_force([(d, (t or "").encode()) for d, t in repeats])
-    monkeypatch.setattr(suffixes, "SAMPLE", 1)
-    for limit in (1, 20):  # all grams, and the frequent ones
-        monkeypatch.setattr(suffixes, "HOT", limit)
+    for hot, sample, hottest in ((1, 1, 10**9), (20, 1, 10**9), (20, 1, 1), (1, 16, 1), (4, 16, 1), (10**9, 16, 1)):
+        monkeypatch.setattr(suffixes, "HOT", hot)
+        monkeypatch.setattr(suffixes, "SAMPLE", sample)
+        monkeypatch.setattr(suffixes, "HOTTEST", hottest)
         assert suffix_rows(suffixes.dedup_substrings(make(repeats).repartition(3))) == want
 
 

@@ -133,11 +133,27 @@ def _join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
             labels = up
 
 
-def _linked(fps: np.ndarray, group: np.ndarray, own: np.ndarray, crossed: np.ndarray, limit: int) -> np.ndarray:
-    """Labels of rows linked inside their group. group: sorted group numbers; crossed: the group compares rows of unlike own only."""
+def pivot_distances(fps: np.ndarray) -> np.ndarray:
+    """Rows of PIVOTS bytes: the Hamming distances to the reference fingerprints, 255 at most (which keeps them a lower bound)."""
+    return np.stack([np.minimum(_distance(fps, p), 255) for p in _pivots(fps.shape[1])], axis=1).astype(np.uint8)
+
+
+def with_pivots(classes: DataFrame, words: int) -> DataFrame:
+    """classes (node long, fp binary) with ``pivots`` binary, the row of the distance table: made once per fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
+            table = [r.tobytes() for r in pivot_distances(fps)] if len(fps) else []
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(table, pa.binary())], names=["node", "fp", "pivots"])
+
+    return classes.select("node", "fp").mapInArrow(run, "node long, fp binary, pivots binary")
+
+
+def _linked(fps: np.ndarray, tables: np.ndarray, group: np.ndarray, own: np.ndarray, crossed: np.ndarray, limit: int) -> np.ndarray:
+    """Labels of rows linked inside their group. tables: a row of distances per pivot; group: sorted group numbers; crossed: the group compares rows of unlike own only."""
     n = len(fps)
     labels = np.arange(n)
-    tables = np.stack([_distance(fps, p) for p in _pivots(fps.shape[1])])  # the pivot distance tables
     ends = np.searchsorted(group, group, side="right")  # a row's partners are the later rows of its group
     fan = ends - np.arange(n) - 1
     done = np.cumsum(fan)
@@ -161,7 +177,7 @@ def _linked(fps: np.ndarray, group: np.ndarray, own: np.ndarray, crossed: np.nda
 def links(classes: DataFrame, masks: list[list[int]], words: int, max_distance: int) -> DataFrame:
     """(a, b): links of at most ``max_distance`` bits that connect all that the masks bring together.
 
-    classes: (node long, fp binary), one row per distinct fingerprint. Rows that agree on a mask's bits form a group.
+    classes: (node long, fp binary, pivots binary), one row per distinct fingerprint. Rows that agree on a mask's bits form a group.
     """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +207,7 @@ def group_links(keys: DataFrame, classes: DataFrame, words: int, max_distance: i
         .select("key", "node", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("own"))
         .select("key", "node", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node")
-        .join(classes.select("node", "fp"), "node")  # fingerprints travel only with keys that recur
+        .join(classes.select("node", "fp", "pivots"), "node")  # fingerprints travel only with keys that recur
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,9 +216,10 @@ def group_links(keys: DataFrame, classes: DataFrame, words: int, max_distance: i
         def solve(t: pa.Table) -> pa.RecordBatch:
             i, j, own, node = (t.column(c).to_numpy() for c in ("i", "j", "own", "node"))
             fps = np.frombuffer(b"".join(t.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
+            tables = np.frombuffer(b"".join(t.column("pivots").to_pylist()), np.uint8).reshape(-1, PIVOTS).T.astype(np.int16)
             key = t.column("key").to_numpy()
             group = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))])
-            labels = _linked(fps, group, own, i != j, max_distance)
+            labels = _linked(fps, tables, group, own, i != j, max_distance)
             at = np.flatnonzero(labels != np.arange(len(labels)))
             return pa.RecordBatch.from_arrays([pa.array(node[labels[at]]), pa.array(node[at])], names=["a", "b"])
 
@@ -240,7 +257,7 @@ def simhash_classes(docs: DataFrame, width: int = 4, words: int = 1, max_distanc
     small_batches(docs.sparkSession)
     fps = stash(fingerprints(docs, width, words, repeats), "fingerprints")
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    classes = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
+    classes = stash(with_pivots(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), words), "classes")
     found = links(classes.where("node is not null"), masks, words, max_distance)
     labels = connected_components(found, "a", "b")
     named = classes.join(labels, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id"))
@@ -293,7 +310,7 @@ def jaccard_classes(docs: DataFrame, width: int, words: int, max_distance: int,
     named = stash(made.select("doc_id", "digest").groupBy("digest").agg(F.min("doc_id").alias("node")), "set-classes")
     nodes = stash(made.join(named.withColumnRenamed("node", "doc_id"), ["digest", "doc_id"]).dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "digest", "fp", "prefix"), "set-nodes")
     keys = nodes.select(F.explode("prefix").alias("key"), "node")
-    wide = stash(connected_components(group_links(keys, nodes.select("node", "fp"), words, max_distance), "a", "b"), "wide-components")
+    wide = stash(connected_components(group_links(keys, stash(with_pivots(nodes, words), "node-pivots"), words, max_distance), "a", "b"), "wide-components")
     sizes = wide.groupBy("label").agg(F.count("*").alias("n"))
     parts = F.ceil(F.col("n") / SET_ROWS)
     members = stash(wide.join(sizes, "label").select("label", "node", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("own")), "wide-members")

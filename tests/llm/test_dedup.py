@@ -61,7 +61,7 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     rng = random.Random(5)
     base = rng.getrandbits(64)
     fps = sorted({base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 9))) for _ in range(900)})
-    df = spark.createDataFrame([(i, bytearray(f.to_bytes(8, "big"))) for i, f in enumerate(fps)], "node long, fp binary")
+    df = simhash.with_pivots(spark.createDataFrame([(i, bytearray(f.to_bytes(8, "big"))) for i, f in enumerate(fps)], "node long, fp binary"), 1)
     monkeypatch.setattr(simhash, "BLOCK_ROWS", 40)
     labels = {r.node: r.label for r in connected_components(simhash.links(df, simhash.pigeonhole_masks(4), 1, 4), "a", "b").collect()}
     want = {d: c for d, _, c in classes_by_definition(list(enumerate(fps)))}
@@ -72,7 +72,8 @@ def test_pivots_never_discard_a_link():
     rng = np.random.default_rng(0)
     fps = rng.integers(0, 1 << 63, (300, 1), dtype=np.uint64)
     fps[150:] = fps[:150] ^ np.uint64(0b1011)
-    labels = simhash._linked(fps, np.zeros(300, int), np.zeros(300, int), np.zeros(300, bool), 3)
+    tables = simhash.pivot_distances(fps).T.astype(np.int16)
+    labels = simhash._linked(fps, tables, np.zeros(300, int), np.zeros(300, int), np.zeros(300, bool), 3)
     assert (labels[150:] == np.arange(150)).all()
 
 
@@ -86,7 +87,7 @@ def test_components_of_chains(spark):
 
 def test_stage_settings_find_near_copies(spark, make):
     """Copies with a few words changed, Jaccard similarity from 0.8 up, are linked by the pipeline's settings; others aren't."""
-    import corpus_pipeline as cp
+    from facetry.llm import pipeline as cp
 
     rng = random.Random(3)
     vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(3000)]
@@ -108,7 +109,7 @@ def test_stage_settings_find_near_copies(spark, make):
 
 def test_stage_equals_exact_similarity(spark, make, monkeypatch):
     """Every pair of similarity 0.8 or more is found, barely similar ones too, and none below it goes."""
-    import corpus_pipeline as cp
+    from facetry.llm import pipeline as cp
 
     rng = random.Random(9)
     vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(3000)]
@@ -218,7 +219,7 @@ def test_common_line_alone_stays(make):
 
 def test_queries_pair_lines_of_any_frequency(spark, make, tmp_path):
     """op1 and the stage take a passage of 15 documents from all later ones, and a block whose lines are first seen apart."""
-    import corpus_pipeline as cp
+    from facetry.llm import pipeline as cp
     from facetry.llm import queries
 
     passage, one, two = "a passage of one line that many documents hold", "the first line of a common block", "the second line of a common block"

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import textwrap
 import zlib
 
@@ -372,7 +373,7 @@ def test_html_articles_published_twice_stay(spark):
 
 
 def test_pipeline(spark, sf_dir):
-    import corpus_pipeline as cp
+    from facetry.llm import pipeline as cp
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, kept = docs.columns, docs.count()
@@ -383,14 +384,57 @@ def test_pipeline(spark, sf_dir):
     assert decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).count() == 0
     pieces = cp.STAGES[-1][1](spark, docs, sf_dir)
     assert pieces.select("doc_id").distinct().count() == kept
-    assert entry.queries()["pipeline"] is cp.run
+    assert entry.queries()["pipeline"].__module__ == "facetry.llm.pipeline"
+
+
+def test_pipeline_equals_definition(spark, sf_dir):
+    """run() against every stage by brute force in plain Python; language alone is taken from the operator's compressors."""
+    from facetry.llm import pipeline as cp
+    from tests.llm.test_dedup import lines_by_definition
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    told = {r.doc_id for r in language.identify(docs, language.learn(docs)).where("not rejected").collect()}
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in told}
+    texts = lines_by_definition(sorted(texts.items()), rare=len(texts))
+    grams = {d: {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} for d, t in texts.items() for ws in [t.encode().lower().split()]}
+    label, by_gram = {d: d for d in texts}, {}
+    for d in sorted(grams):
+        for g in grams[d]:
+            by_gram.setdefault(g, []).append(d)
+    near = {(a, b) for ds in by_gram.values() for b in ds for a in ds if a < b}
+    edges = [(a, b) for a, b in near if 100 * len(grams[a] & grams[b]) >= 80 * len(grams[a] | grams[b])]
+    while any(label[a] != label[b] for a, b in edges):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    texts = {d: t for d, t in texts.items() if label[d] == d}
+    word = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
+    items = [word(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    shingles = lambda ws, n: {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)}
+    clean = {}
+    for d, t in texts.items():
+        ws = word(t)
+        held = shingles(ws, 5)
+        if not any(len(held & (s := shingles(i, 5))) * 100 >= 80 * len(s) for i in items):
+            clean[d] = t
+    assert min(map(len, items)) >= 5 and len(clean) < len(texts)
+    rows = cp.run(spark, sf_dir).collect()
+    check_packed(rows, clean.values())
+    assert {r.doc_id for r in rows} == set(clean)
 
 
 def test_pipeline_edges(spark, make, edge_rows, sf_dir):
-    import corpus_pipeline as cp
+    from facetry.llm import pipeline as cp
 
+    kept = []
     for rows in (edge_rows, []):
         docs = make(rows)
+        columns = docs.columns
         for name, stage in cp.STAGES:
             docs = cp.stash(stage(spark, docs, sf_dir), name)
-        docs.count()
+            if name != "packing":
+                assert docs.columns == columns
+                kept.append([r.doc_id for r in docs.collect()])
+        assert {r.doc_id for r in docs.collect()} == set(kept[-1])
+    told, deduped, single, clean = (sorted(k, key=str) for k in kept[:4])
+    assert {1, 2, 3, 7}.isdisjoint(told) and told == deduped and {4, 5} <= set(told)
+    assert clean == single == sorted(set(single), key=str) and 4 in single and kept[4:] == [[], [], [], []]

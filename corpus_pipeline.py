@@ -1,66 +1,8 @@
-"""A corpus pipeline of five stages; each works on all that the one before kept."""
+"""The corpus pipeline: five stages over documents. Their code is in facetry.llm.pipeline."""
 
-from __future__ import annotations
+from facetry.llm.pipeline import STAGES, run
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from facetry.llm import decontam, language, lines, packing, simhash
-from facetry.llm.common import bounded, first_per_id, stash, table
-from facetry.llm.queries import tokenizer_path
-
-#: No stage but decontamination is expressible in SQL; tests hold the stages against brute force.
+#: No stage but decontamination is expressible in SQL; tests hold the whole against brute force.
 ORACLE_SQL = None
 
-#: Near duplicates: 256-bit SimHash of distinct five-word shingles. Texts of Jaccard similarity 0.8 differ in 39 bits on average,
-#: with a deviation of 6, and unlike texts in 128, with one of 8. So 80 bits keep every candidate; the exact similarity decides.
-NEAR_BITS, NEAR_PERCENT = 80, 80
-
-
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with a margin; the others go. Documents pass through where they are read."""
-    found = language.identify(docs, language.learn(docs), keep=docs.columns)
-    return found.where("not rejected").select(*docs.columns)
-
-
-def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without blocks of lines that an earlier one has; n_chars follows the text."""
-    out = lines.without(docs, lines.removed_runs(docs, rare=None))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each class linked by similarity; documents without doc_id aren't judged and stay."""
-    found = simhash.jaccard_classes(docs, width=5, words=4, max_distance=NEAR_BITS, percent=NEAR_PERCENT)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return first_per_id(docs.join(bounded(stash(gone, "near-duplicates")), "doc_id", "left_anti").select(*docs.columns))
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(bounded(stash(found, "contaminated")), "doc_id", "left_anti").select(*docs.columns)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in windows of 2048 ids."""
-    return packing.pack(docs, tokenizer_path())
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", identify_language),
-    ("line_dedup", dedup_lines),
-    ("simhash_near_dedup", drop_near_duplicates),
-    ("decontamination", decontaminate),
-    ("packing", pack),
-]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written as Parquet in the shared folder and read by the next."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir), name)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

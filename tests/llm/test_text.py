@@ -352,24 +352,115 @@ def page_rows(spark, rows):
     return spark.createDataFrame([(*r, "b") for r in rows], "page_id long, url string, html string, blocks string")
 
 
+def texts_of(spark, rows):
+    return {r.page_id: r.text for r in html.extract(page_rows(spark, rows)).collect()}
+
+
 def test_html_structure(spark):
-    bare = "<body><p>menu one two three four five six seven</p><p>{}</p><p>menu one two three four five six seven {}</p></body>"
     rows = [(1, "http://h/1", PAGE), (2, None, None), (3, "http://h/3", ""), (4, "http://h/4", "<nav>only menu</nav>"), (5, "bad url", "plain text, no markup"), (5, "bad url", "plain text, no markup")]
-    rows += [(k, f"http://b/{k}", bare.format(*(" ".join(f"{w}{k}" for w in "its own words alone stand in this place".split()[:n]) for n in (8, 3)))) for k in range(10, 14)]
-    rows += [(20, "http://other/1", bare.format("elsewhere", "too"))]
     got = {r.page_id: r for r in html.extract(page_rows(spark, rows)).collect()}
     assert got[1].text == "Head&line\n\nOne two three\n\nFour five <6>" and got[1].n_chars == len(got[1].text)
     assert got[2].text == got[3].text == got[4].text == "" and got[2].n_chars == 0
     assert got[5].text == "plain text, no markup"
-    assert got[10].text == "its10 own10 words10 alone10 stand10 in10 this10 place10\n\nits10 own10 words10"  # the run stands on four pages of the host
-    assert got[20].text.startswith("menu one")  # one page alone repeats nothing
     assert html.extract(page_rows(spark, [])).count() == 0
     assert html.extract(page_rows(spark, rows)).count() == len(rows)
 
 
-def test_html_articles_published_twice_stay(spark):
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<div class="content has-sidebar"><article><p>Words</article></div>', "Words"),
+        ('<div class="sidebar"><article><p>Words</article></div>', "Words"),  # the only article
+        ('<div class="sidebar"><article><p>Teaser</article></div><article><p>Words of the article</article>', "Words of the article"),
+        ('<form action=x><div class="menu">Menu</div><h1>Title</h1><p>Words</p><input></form>', "Title\n\nWords"),
+        ("<form><label>Name <input></label></form><p>Words</p>", "Words"),
+        ("<form><label>Name <input></label></form>", ""),
+        ('<article><p>Words</p><section id="related-work"><p>Older papers</p></section><div class="search-algorithm">Steps</div></article>', "Words\n\nOlder papers\n\nSteps"),
+        ('<article><p>Words</p><div class="related-posts">More</div><div id="comments"><article>First!</article></div></article>', "Words"),
+        ('<div class="site-footer">Foot</div><div class="cookie-notice">Cookies</div><p>Words', "Words"),
+        ("<main><p>Short</main><p>A far longer text outside of what the page declares as main", "Short\n\nA far longer text outside of what the page declares as main"),
+        ("<article><p>A long enough article here</article><p>Small print", "A long enough article here"),
+        ("<p>a<br>b&amp;c&#x41;&nbsp;<b>d</b><table><tr><td>e<td>f</table><script>x</script><template>y</template>", "a b&cA d\n\ne\n\nf"),
+    ],
+)
+def test_html_one_page(page, want):
+    kinds, texts = zip(*html.page_blocks(page)) if html.page_blocks(page) else ((), ())
+    assert html.main_text(list(kinds), list(texts), set()) == want
+
+
+def bare_pages(rng, host, n, common=("Home", "About us", "Contact and terms"), own=40):
+    """Pages whose menu, notice and footer are plain divs on every page; (page_id, url, html) and the true text of each."""
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=rng.randint(2, 8)))
+    notice = " ".join(word() for _ in range(25))
+    rows, want = [], {}
+    for k in range(n):
+        paragraphs = [" ".join(word() for _ in range(rng.randint(3, own))) for _ in range(rng.randint(1, 5))]
+        blocks = [*common, *paragraphs, notice, f"page {word()} of this site, all rights reserved by its owners and friends"]
+        rows.append((f"{host}{k}", f"http://{host}/{k}", "".join(f"<div>{b}</div>" for b in blocks)))
+        want[f"{host}{k}"] = "\n\n".join(paragraphs)
+    return rows, want
+
+
+def numbered(parts):
+    rows = [r for p, _ in parts for r in p]
+    ids = {name: i for i, (name, _, _) in enumerate(rows)}
+    return [(ids[n], u, h) for n, u, h in rows], {ids[n]: t for _, w in parts for n, t in w.items()}
+
+
+def test_html_host_runs(spark, monkeypatch):
+    """Menus, notices and footers that only their recurrence tells go, on small hosts and on hosts of several suffix arrays."""
+    monkeypatch.setattr(html, "PART_PAGES", 16)
+    rng = random.Random(11)
+    rows, want = numbered([bare_pages(rng, h, n) for h, n in (("a.org", 150), ("b.org", 9), ("c.org", 3))])
+    got = texts_of(spark, rows)
+    assert got == want
+    alone = texts_of(spark, rows[:2])
+    assert all(alone[k].startswith("Home\n\nAbout us") for k in (0, 1))  # two pages tell nothing
+
+
+def test_html_runs_equal_definition(spark, monkeypatch):
+    """Against counting every run of every page in a dictionary."""
+    rng = random.Random(3)
+    parts = [bare_pages(rng, h, n, own=12) for h, n in (("a.org", 70), ("b.org", 12), ("c.org", 5))]
+    rows, _ = numbered(parts)
+    rows += [(k + 1000, u, h) for k, u, h in rows[:20]]  # pages of equal text count once
+    rows += [(2000 + k, f"http://a.org/x{k}", f"<p>{'the same eight words on one page in four ' * 2}{k} {k} {k}") for k in range(16)]
+    rows += [(3000, "http://b.org/long", "<p>" + "very long page " * 60_000)]
+    want = {}
+    for host in {u.split("/")[2] for _, u, _ in rows}:
+        pages = {k: html.page_blocks(h) for k, u, h in rows if u.split("/")[2] == host}
+        distinct = {"\n".join(t for _, t in b): b for b in pages.values()}
+        seen = {}
+        for key, blocks in distinct.items():
+            tokens = html.page_tokens([t for _, t in blocks])
+            runs = {tuple(tokens[i : i + html.RUN]) for i in range(len(tokens) - html.RUN + 1)} | {("\x1d", *t.split(" "), "\x1d") for _, t in blocks if len(t.split(" ")) + 2 < html.RUN}
+            for r in runs:
+                seen.setdefault(r, set()).add(key)
+        marks = {html._name(list(r)) for r, ks in seen.items() if len(ks) >= max(html.PAGES, -(-len(distinct) // 5))}
+        want |= {k: html.main_text([x for x, _ in b], [t for _, t in b], marks) for k, b in pages.items()}
+    for size in (128, 7):
+        monkeypatch.setattr(html, "PART_PAGES", size)
+        assert texts_of(spark, rows) == want
+
+
+def test_html_articles_published_often_stay(spark):
+    """Declared or bare, on a small host or a large one, an article of several addresses keeps its words."""
+    rng = random.Random(5)
     pages = [(k, f"http://h/{k}", PAGE) for k in range(5)]
-    assert {r.text for r in html.extract(page_rows(spark, pages)).collect()} == {"Head&line\n\nOne two three\n\nFour five <6>"}
+    assert set(texts_of(spark, pages).values()) == {"Head&line\n\nOne two three\n\nFour five <6>"}
+    bare, want = numbered([bare_pages(rng, "big.org", 200)])
+    again = [(1000 + k, f"http://big.org/again{k}", bare[7][2]) for k in range(3)]
+    got = texts_of(spark, bare + again)
+    assert all(got[k] == want[k] for k in want) and {got[r[0]] for r in again} == {want[7]}
+
+
+def test_html_articles_of_the_tables(spark):
+    """Every page of the tables declares its article; that is what comes out, whole."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html.extract(pages).collect()}
+    for r in pages.collect():
+        own = "".join(re.findall(r"<article>.*?</article>", r.html, flags=re.S))
+        assert got[r.page_id] == "\n\n".join(t for _, t in html.page_blocks(own))
 
 
 def test_pipeline(spark, sf_dir):

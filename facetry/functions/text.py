@@ -20,6 +20,30 @@ def contains_all(text: Column, query: str) -> Column:
     return F.coalesce(sum((F.array_contains(have, w).cast("int") for w in words), F.lit(0)) == len(words), F.lit(False))
 
 
+def boolean(fields: dict[str, Column], must: list[str] = (), should: list[str] = (), must_not: list[str] = ()) -> Column:
+    """Whether a document's fields satisfy a boolean search.
+
+    A term is a word, a "quoted phrase", or field:term for one field; else any field may hold it. All of ``must`` hold, at
+    least one of ``should`` if there is no ``must``, and none of ``must_not``.
+    """
+
+    def holds(term: str) -> Column:
+        name, _, rest = term.partition(":")
+        asked = [fields[name]] if rest and name in fields else list(fields.values())
+        word = rest if rest and name in fields else term
+        hits = [contains_all(c, word) for c in asked]
+        return F.coalesce(F.greatest(*hits) if len(hits) > 1 else hits[0], F.lit(False))
+
+    out = F.lit(True)
+    for term in must:
+        out &= holds(term)
+    if should and not must:
+        out &= F.greatest(F.lit(False), *map(holds, should))
+    for term in must_not:
+        out &= ~holds(term)
+    return out
+
+
 def snippet(text: Column, term: str, width: int = 60) -> Column:
     """Text around the first hit of the term, with the hit in <b>; null without one."""
     at = F.instr(F.lower(text), term.lower())

@@ -64,14 +64,25 @@ def replication_status(missing: Column, spread: Column) -> Column:
     return F.when(spread > DIVERGED, "Diverged").when(missing > 0, F.concat(F.lit("Stale:"), (missing * 1000).cast("string"))).otherwise("UpToDate")
 
 
-def trust_fold(outcomes: DataFrame, start: float = 1.0) -> DataFrame:
+def trust_fold(outcomes: DataFrame, start: float = 1.0, chunk: int = 10_000) -> DataFrame:
     """(store_id, trust): +0.05 for a success, -0.1 for a failure, held in [0, 1], in order of seq.
 
-    A store's outcomes are folded as one ordered array of flags.
+    A run of held steps is itself one step, x -> min(max(x + move, low), high). So the outcomes of ``chunk`` numbers of seq
+    are folded to three numbers, and only those are gathered per store.
     """
     ordered = F.array_sort(F.collect_list(F.struct("seq", "ok")))
-    step = lambda t, o: F.least(F.greatest(t + F.when(o["ok"], 0.05).otherwise(-0.1), F.lit(0.0)), F.lit(1.0))
-    return outcomes.groupBy("store_id").agg(ordered.alias("o")).select("store_id", F.aggregate("o", F.lit(start), step).alias("trust"))
+
+    def then(f: Column, move: Column, low: Column, high: Column) -> Column:
+        held = lambda x: F.least(F.greatest(x + move, low), high)
+        return F.struct((f["move"] + move).alias("move"), held(f["low"]).alias("low"), held(f["high"]).alias("high"))
+
+    still = F.struct(F.lit(0.0).alias("move"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+    step = lambda f, o: then(f, F.when(o["ok"], 0.05).otherwise(-0.1), F.lit(0.0), F.lit(1.0))
+    parts = outcomes.groupBy("store_id", F.floor(F.col("seq") / chunk).alias("part")).agg(ordered.alias("o"))
+    parts = parts.select("store_id", "part", F.aggregate("o", still, step).alias("f"))
+    whole = parts.groupBy("store_id").agg(F.array_sort(F.collect_list(F.struct("part", "f"))).alias("fs"))
+    f = F.aggregate("fs", still, lambda f, p: then(f, p["f"]["move"], p["f"]["low"], p["f"]["high"]))
+    return whole.select("store_id", f.alias("f")).select("store_id", F.least(F.greatest(F.lit(start) + F.col("f.move"), F.col("f.low")), F.col("f.high")).alias("trust"))
 
 
 def consensus(votes: DataFrame, level: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import bounded, checkpoint
+
 TRIPLE = ["subject", "predicate", "object"]
 
 
@@ -40,15 +42,19 @@ def undirected(edges: DataFrame) -> DataFrame:
 def neighborhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """(node, depth): nodes within so many undirected hops of the seeds (column node), with their least depth.
 
-    Breadth first: each hop joins the frontier with the edges and drops what has been seen, so cycles end; the number
-    of hops bounds the plan.
+    Breadth first: a hop reads the edges once, against the frontier, which is broadcast while it is small, and drops what
+    has been seen, so cycles end. Frontiers are stored, so the work of a hop doesn't grow with the hops before it.
     """
-    both = undirected(edges).distinct()
-    seen = seeds.select("node").distinct().withColumn("depth", F.lit(0))
+    seen = checkpoint(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for hop in range(1, hops + 1):
-        step = frontier.join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
-        frontier = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(hop))
+        now = bounded(frontier.select("node"))
+        out = edges.join(now, F.col("subject") == F.col("node")).select(F.col("object").alias("to"))
+        back = edges.join(now, F.col("object") == F.col("node")).select(F.col("subject").alias("to"))
+        step = out.unionByName(back).distinct().withColumnRenamed("to", "node")
+        frontier = checkpoint(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(hop)))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 

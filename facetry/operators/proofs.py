@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import joined
@@ -18,42 +17,39 @@ SEQUENTIAL = {"PROVENANCE", "CITATION"}
 KINDS = ["EXISTENCE", "CITATION", "ACCESS", "INTEGRITY", "PROVENANCE", "CUSTOM", "ZKP", "PROVEN", "SANCTIFY", "CONSISTENCY", "FRESHNESS"]
 
 
-def merkle_levels(leaves: DataFrame, depth: int) -> list[DataFrame]:
-    """Levels (tree, idx, h) from the leaf hashes (tree, idx, data) up, at most ``depth`` pairings.
+def merkle_levels(leaves: DataFrame) -> list[DataFrame]:
+    """Levels (tree, idx, h, n) from the leaf hashes (tree, idx, data) up to the roots; n is a tree's size at that level.
 
-    A level pairs by idx div 2 with one grouped aggregate; the last node of an odd level pairs with itself, and a
-    tree that is down to its root is carried up unchanged.
+    Places run from 0 without gaps. A level pairs by idx div 2 with one grouped aggregate; the last node of an odd level
+    pairs with itself, and a root is carried up unchanged. The largest place, one number, tells how many levels there are.
     """
-    level = leaves.select("tree", "idx", F.sha2(F.col("data").cast("binary"), 256).alias("h"))
-    out = [level]
-    for _ in range(depth):
-        n = F.count("*").over(W.partitionBy("tree"))
-        sized = level.withColumn("n", n)
-        up = sized.where("n > 1").groupBy("tree", F.floor(F.col("idx") / 2).alias("idx")).agg(F.min_by("h", "idx").alias("l"), F.max_by("h", "idx").alias("r"))
-        level = up.select("tree", "idx", joined(F.col("l"), F.col("r")).alias("h")).unionByName(sized.where("n = 1").select("tree", "idx", "h"))
-        out.append(level)
+    leaves = leaves.select("tree", F.col("idx").cast("long").alias("idx"), F.sha2(F.col("data").cast("binary"), 256).alias("h"))
+    sizes = leaves.groupBy("tree").agg((F.max("idx") + 1).alias("n"))
+    most = sizes.agg(F.max("n")).first()[0] or 1
+    out = [leaves.join(sizes, "tree")]
+    for _ in range((most - 1).bit_length()):
+        up = out[-1].groupBy("tree", F.shiftright("idx", 1).alias("idx")).agg(F.min_by("h", "idx").alias("l"), F.max_by("h", "idx").alias("r"), F.max("n").alias("n"))
+        out.append(up.select("tree", "idx", F.when(F.col("n") == 1, F.col("l")).otherwise(joined(F.col("l"), F.col("r"))).alias("h"), F.shiftright(F.col("n") + 1, 1).alias("n")))
     return out
 
 
-def merkle_roots(leaves: DataFrame, depth: int) -> DataFrame:
-    """(tree, root) for trees of at most 2^depth leaves."""
-    return merkle_levels(leaves, depth)[-1].where("idx = 0").select("tree", F.col("h").alias("root"))
+def merkle_roots(leaves: DataFrame) -> DataFrame:
+    """(tree, root) for trees of any size."""
+    return merkle_levels(leaves)[-1].select("tree", F.col("h").alias("root"))
 
 
-def merkle_paths(leaves: DataFrame, depth: int) -> DataFrame:
-    """(tree, idx, leaf, path): the sibling hashes from each leaf to the root."""
-    levels = merkle_levels(leaves, depth)
-    out = levels[0].select("tree", "idx", F.col("h").alias("leaf"), F.array().cast("array<struct<h: string, left: boolean>>").alias("path"))
+def merkle_paths(leaves: DataFrame) -> DataFrame:
+    """(tree, idx, leaf, path): the sibling hashes from each leaf to the root. One equi-join a level."""
+    levels = merkle_levels(leaves)
+    out = levels[0].select("tree", "idx", "n", F.col("h").alias("leaf"), F.array().cast("array<struct<h: string, left: boolean>>").alias("path"))
     for k, level in enumerate(levels[:-1]):
-        more = F.count("*").over(W.partitionBy("tree")) > 1
-        sib = level.withColumn("more", more).where("more").select(F.col("tree").alias("t"), F.col("idx").alias("i"), "h")
-        at = F.floor(F.col("idx") / (1 << k))
-        # an odd last node is its own sibling
-        both = out.withColumn("at", at).join(sib.select("t", F.col("i").alias("own"), F.col("h").alias("own_h")), (F.col("tree") == F.col("t")) & (F.col("at") == F.col("own")), "left").drop("t", "own")
-        both = both.join(sib, (F.col("tree") == F.col("t")) & (F.col("i") == F.col("at").bitwiseXOR(F.lit(1).cast("long"))), "left")
-        step = F.when(F.col("own_h").isNotNull(), F.array(F.struct(F.coalesce("h", "own_h").alias("h"), ((F.col("at") % 2 == 1) & F.col("h").isNotNull()).alias("left")))).otherwise(F.array().cast("array<struct<h: string, left: boolean>>"))
-        out = both.select("tree", "idx", "leaf", F.concat("path", step).alias("path"))
-    return out
+        at = F.shiftright("idx", k)
+        beside = F.least(at.bitwiseXOR(F.lit(1).cast("long")), F.col("n") - 1)  # an odd last node is its own sibling
+        sib = level.where("n > 1").select("tree", F.col("idx").alias("beside"), F.col("h").alias("sib"))
+        both = out.withColumn("left", (at % 2 == 1)).withColumn("beside", beside).join(sib, ["tree", "beside"], "left")
+        step = F.when(F.col("sib").isNotNull(), F.array(F.struct(F.col("sib").alias("h"), F.col("left").alias("left")))).otherwise(F.array().cast("array<struct<h: string, left: boolean>>"))
+        out = both.select("tree", "idx", F.shiftright(F.col("n") + 1, 1).alias("n"), "leaf", F.concat("path", step).alias("path"))
+    return out.drop("n")
 
 
 def path_root(leaf: Column, path: Column) -> Column:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.hashing import GENESIS, record_hash
 
+# The kinds of events and the fields that a record's hash covers.
 KINDS = ["created", "modified", "imported", "normalized", "drift_repaired", "deleted", "merged"]
 FIELDS = ["actor", "description", "event_type", "source", "ts"]
 
@@ -26,30 +30,27 @@ def append(records: DataFrame) -> DataFrame:
 
     A record's hash needs its parent's, so an entity's records are folded in order. Records are dealt by entity and
     sorted, and a task walks its rows as a stream: state is one hash, whatever a chain's length. The hash is the one
-    of record_hash, which verification computes in SQL.
+    of record_hash, which verification computes in SQL. Records without entity_id are one chain.
     """
-    import hashlib
-    import json
-
     names = records.columns
+    at = {c: names.index(c) for c in ("entity_id", *FIELDS)}
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entity, last = object(), GENESIS
         for b in batches:
             parents, hashes = [], []
-            for e, *values in b[["entity_id", *FIELDS]].itertuples(index=False):
+            for e, *values in zip(*(b.column(k).to_pylist() for k in at.values())):
                 if e != entity:
                     entity, last = e, GENESIS
-                v = {k: None if pd.isna(x) else x for k, x in zip(FIELDS, values)}
+                v = dict(zip(FIELDS, values))
                 record = {"actor": v["actor"], "description": v["description"], "event_type": v["event_type"], "parent_hash": last, "source": v["source"], "timestamp": v["ts"]}
                 parents.append(last)
                 last = hashlib.sha256(json.dumps(record, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
                 hashes.append(last)
-            yield b.assign(parent_hash=parents, content_hash=hashes)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parents, pa.string()), pa.array(hashes, pa.string())], names=[*names, "parent_hash", "content_hash"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema)
-    dealt = records.repartition("entity_id").sortWithinPartitions("entity_id", "seq")
-    return dealt.select(*names).mapInPandas(fold, f"{schema}, parent_hash string, content_hash string")
+    schema = T.StructType(list(records.schema)).add("parent_hash", "string").add("content_hash", "string")
+    return records.repartition("entity_id").sortWithinPartitions("entity_id", "seq").mapInArrow(fold, schema)
 
 
 def verify(chain: DataFrame) -> DataFrame:

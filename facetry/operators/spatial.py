@@ -55,12 +55,27 @@ def in_polygon(points: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
 def distance_join(a: DataFrame, b: DataFrame, km: float) -> DataFrame:
     """(left, right, km) of points at most so far apart.
 
-    Points meet by latitude bands as wide as the radius: an equi-join on the band with b's rows in three bands, then
-    the exact distance. Longitude cells narrow the bands where the circle spans few of them.
+    Points meet by cells: latitude bands as high as the radius, each cut around the globe into cells at least as wide as a
+    circle within it reaches to either side (one cell near the poles). A row of a lies in one cell; a row of b in the cells
+    of three bands, and to both sides, that can hold its partners: at most nine. The exact distance follows. Cells are
+    plain keys of a shuffle, so AQE can split a crowded one.
     """
     step = math.degrees(km / EARTH_KM)
-    band = lambda c: F.floor((c + 90) / step)
-    x = a.select(F.col("entity_id").alias("left"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1")).withColumn("band", band(F.col("lat1")))
-    y = b.select(F.col("entity_id").alias("right"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")).withColumn("band", F.explode(F.array(band(F.col("lat2")) - 1, band(F.col("lat2")), band(F.col("lat2")) + 1)))
+    band = lambda lat: F.floor((lat + 90) / step)
+
+    def around(band: Column) -> Column:
+        """Cells of a band."""
+        far = F.least(F.greatest(F.abs(band * step - 90), F.abs((band + 1) * step - 90)), F.lit(90.0))
+        width = F.degrees(F.asin(F.least(F.lit(math.sin(math.radians(min(step, 90.0)))) / F.cos(F.radians(far)), F.lit(1.0))))
+        return F.when(far + step >= 90, F.lit(1).cast("long")).otherwise(F.greatest(F.floor(360 / width), F.lit(1).cast("long")))
+
+    def cell(lon: Column, band: Column) -> Column:
+        return F.pmod(F.floor((lon + 180) / 360 * around(band)), around(band))
+
+    x = a.select(F.col("entity_id").alias("left"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), band(F.col("lat")).alias("band"))
+    x = x.withColumn("cell", cell(F.col("lon1"), F.col("band")))
+    y = b.select(F.col("entity_id").alias("right"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.explode(F.array(*(band(F.col("lat")) + k for k in (-1, 0, 1)))).alias("band"))
+    sides = F.array_distinct(F.array(*(F.pmod(cell(F.col("lon2"), F.col("band")) + k, around(F.col("band"))) for k in (-1, 0, 1))))
+    y = y.withColumn("cell", F.explode(sides))
     d = haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    return x.join(y, "band").where(d <= km).select("left", "right", d.alias("km"))
+    return x.join(y, ["band", "cell"]).where(d <= km).select("left", "right", d.alias("km"))

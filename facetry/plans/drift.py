@@ -181,7 +181,7 @@ def ewma_metrics(d: Dataset) -> DataFrame:
 
 @query(f"SELECT kind, round(list_reduce(list(score ORDER BY ts, seq), lambda s, x: s * 0.9 + x * 0.1), 6) AS average FROM {SCORES} GROUP BY 1")
 def ewma_seeded(d: Dataset) -> DataFrame:
-    return _stream(d).groupBy("kind").agg(F.round(K.ewma(K.ordered("score", "ts", "seq"), first_seeds=True), 6).alias("average"))
+    return K.ewma(_stream(d), "kind", first_seeds=True).select("kind", F.round("average", 6).alias("average"))
 
 
 @query(f"SELECT kind, round(avg(score) FILTER (r <= 10) - avg(score) FILTER (r > 10), 6) AS trend FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY ts DESC, seq DESC) r FROM {SCORES}) WHERE r <= 20 GROUP BY 1")

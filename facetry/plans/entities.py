@@ -89,10 +89,10 @@ def order_offset_limit(d: Dataset) -> DataFrame:
 FP = "list_transform(range(0, least(4, ceil(n / greatest(n // 4, 1))::BIGINT)), lambda i: list_sum(list_transform(range(i * greatest(n // 4, 1), least((i + 1) * greatest(n // 4, 1), n)), lambda j: ('0x' || substr(h, 2 * j + 1, 2))::INT)) / (least((i + 1) * greatest(n // 4, 1), n) - i * greatest(n // 4, 1)) / 255)"
 
 
-@query(f"""SELECT entity_id, array_to_string(list_transform({FP}, lambda x: printf('%.6f', x)), ',') AS fingerprint FROM (SELECT doc_id AS entity_id, hex(encode(substr(text, 1, 40))) AS h, (length(hex(encode(substr(text, 1, 40)))) // 2) AS n FROM documents WHERE length(text) > 0)""")
+@query(f"""SELECT entity_id, array_to_string(list_transform({FP}, lambda x: printf('%.6f', x)), ',') AS fingerprint FROM (SELECT doc_id AS entity_id, hex(encode(text)) AS h, (length(hex(encode(text))) // 2) AS n FROM documents WHERE length(text) > 0)""")
 def content_fingerprint(d: Dataset) -> DataFrame:
-    f = V.byte_fingerprint(F.col("title"))
-    return d.documents.where(F.length("title") > 0).select("entity_id", F.array_join(F.transform(f, lambda x: F.format_string("%.6f", x)), ",").alias("fingerprint"))
+    f = V.byte_fingerprint(F.col("body"))
+    return d.documents.where(F.length("body") > 0).select("entity_id", F.array_join(F.transform(f, lambda x: F.format_string("%.6f", x)), ",").alias("fingerprint"))
 
 
 PAIR = "(SELECT d.doc_id AS entity_id, a.embedding::DOUBLE[] AS a, b.embedding::DOUBLE[] AS b FROM documents d LEFT JOIN embeddings a ON d.doc_id = a.vec_id LEFT JOIN embeddings b ON b.vec_id = d.doc_id + 1)"

@@ -28,12 +28,19 @@ def chain_append(d: Dataset) -> DataFrame:
     return R.append(d.provenance).select("entity_id", "seq", "parent_hash", "content_hash")
 
 
-@query("SELECT user_id AS entity_id, count(*) AS length, true AS chain_valid FROM events GROUP BY 1")
+CHECKED = """, k AS (SELECT c.entity_id, c.seq, c.parent_hash = coalesce(lag(c.content_hash) OVER (PARTITION BY c.entity_id ORDER BY c.seq), '{genesis}') AS linked, c.content_hash = {hash} AS whole
+FROM c JOIN {now} r ON r.entity_id = c.entity_id AND r.seq = c.seq)
+"""
+ALTERED = f"(SELECT * REPLACE (CASE WHEN entity_id % 3 = 0 AND seq = 2 THEN 'tampered' ELSE description END AS description) FROM {REC})"
+
+
+@query(CHAIN.replace(" WHERE entity_id < 40", "") + CHECKED.format(genesis=H.GENESIS, hash=HASH.format(r="r", p="c.parent_hash"), now="r") + "SELECT entity_id, count(*) AS length, bool_and(linked AND whole) AS chain_valid FROM k GROUP BY 1")
 def chain_verify(d: Dataset) -> DataFrame:
     return R.verify(R.append(d.provenance)).select("entity_id", "length", "chain_valid")
 
 
-@query("""SELECT user_id AS entity_id, user_id % 3 <> 0 AS chain_valid, CASE WHEN user_id % 3 = 0 THEN 2 END AS first_bad, CASE WHEN user_id % 3 = 0 THEN 'altered_record' END AS fault FROM events GROUP BY 1""")
+@query(CHAIN.replace(" WHERE entity_id < 40", "") + CHECKED.format(genesis=H.GENESIS, hash=HASH.format(r="r", p="c.parent_hash"), now=ALTERED) + """SELECT entity_id, bool_and(linked AND whole) AS chain_valid, min(seq) FILTER (NOT (linked AND whole)) AS first_bad,
+arg_min(CASE WHEN NOT linked THEN 'broken_link' ELSE 'altered_record' END, seq) FILTER (NOT (linked AND whole)) AS fault FROM k GROUP BY 1""")
 def chain_tampered(d: Dataset) -> DataFrame:
     """Every third chain has its second record's description altered after hashing."""
     hit = (F.col("entity_id") % 3 == 0) & (F.col("seq") == 2)
@@ -104,40 +111,49 @@ def proof_tally(d: Dataset) -> DataFrame:
     return d.table("events").groupBy(F.col("event_type").alias("claim")).agg(F.sum((F.col("value") >= 50).cast("int")).alias("valid"), F.count("*").alias("total"))
 
 
-@query("SELECT doc_id AS entity_id, sha256(substr(text, 1, 40) || 'secret-' || doc_id) AS commitment, true AS verified FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id AS entity_id, sha256(text || 'secret-' || doc_id) AS commitment, sha256(text || 'secret-' || doc_id) = sha256(text || CASE WHEN doc_id % 7 = 0 THEN 'wrong' ELSE 'secret-' || doc_id END) AS verified FROM documents WHERE text IS NOT NULL")
 def commitments(d: Dataset) -> DataFrame:
+    """Commitments to whole texts, opened with the secret, or every seventh with another."""
     secret = F.concat(F.lit("secret-"), F.col("entity_id").cast("string"))
-    c = d.documents.where("body is not null").select("entity_id", H.commitment(F.col("title"), secret).alias("commitment"), "title", secret.alias("secret"))
-    return c.select("entity_id", "commitment", (F.col("commitment") == H.commitment(F.col("title"), F.col("secret"))).alias("verified"))
+    opened = F.when(F.col("entity_id") % 7 == 0, "wrong").otherwise(secret)
+    c = d.documents.where("body is not null").select("entity_id", H.commitment(F.col("body"), secret).alias("commitment"), "body", opened.alias("opened"))
+    return c.select("entity_id", "commitment", (F.col("commitment") == H.commitment(F.col("body"), F.col("opened"))).alias("verified"))
 
 
 def _leaves(d: Dataset) -> DataFrame:
-    """Trees of five documents."""
-    return d.documents.select(F.floor(F.col("entity_id") / 5).alias("tree"), (F.col("entity_id") % 5).alias("idx"), F.coalesce("title", F.lit("")).alias("data"))
+    """Trees of a hundred documents, whole texts."""
+    return d.documents.select(F.floor(F.col("entity_id") / 100).alias("tree"), (F.col("entity_id") % 100).alias("idx"), F.coalesce("body", F.lit("")).alias("data"))
 
 
-LEAF = "(SELECT doc_id // 5 AS tree, doc_id % 5 AS idx, sha256(coalesce(substr(text, 1, 40), '')) AS h FROM documents)"
-PAIRED = "(SELECT tree, idx // 2 AS idx, sha256(unhex(arg_min(h, idx)) || unhex(arg_max(h, idx))) AS h FROM {} GROUP BY 1, 2)"
-ROOT = PAIRED.format(PAIRED.format(PAIRED.format(LEAF)))
+LEAF = "SELECT doc_id // 100 AS tree, doc_id % 100 AS idx, sha256(coalesce(text, '')) AS h, max(doc_id % 100 + 1) OVER (PARTITION BY doc_id // 100) AS n FROM documents"
+PAIRED = "SELECT tree, idx // 2 AS idx, CASE WHEN max(n) = 1 THEN min(h) ELSE sha256(unhex(arg_min(h, idx)) || unhex(arg_max(h, idx))) END AS h, (max(n) + 1) // 2 AS n FROM l{} GROUP BY 1, 2"
+LEVELS = ", ".join([f"l0 AS MATERIALIZED ({LEAF})", *(f"l{k + 1} AS MATERIALIZED ({PAIRED.format(k)})" for k in range(7))])
+WALK = ", ".join(
+    f"w{k + 1} AS (SELECT w.tree, w.idx, CASE WHEN s.n = 1 THEN w.h WHEN (w.idx >> {k}) % 2 = 1 THEN sha256(unhex(s.h) || unhex(w.h)) ELSE sha256(unhex(w.h) || unhex(s.h)) END AS h "
+    f"FROM w{k} w JOIN l{k} s ON s.tree = w.tree AND s.idx = least(xor(w.idx >> {k}, 1), s.n - 1))"
+    for k in range(7)
+)
 
 
-@query(f"SELECT tree, h AS root FROM {ROOT}")
+@query(f"WITH {LEVELS} SELECT tree, h AS root FROM l7")
 def merkle_roots(d: Dataset) -> DataFrame:
-    return P.merkle_roots(_leaves(d), 3)
+    return P.merkle_roots(_leaves(d))
 
 
-@query("SELECT doc_id // 5 AS tree, doc_id % 5 AS idx, true AS included FROM documents")
+@query(f"""WITH {LEVELS}, w0 AS (SELECT doc_id // 100 AS tree, doc_id % 100 AS idx, sha256(CASE WHEN doc_id % 11 = 0 THEN coalesce(text, '') || '!' ELSE coalesce(text, '') END) AS h FROM documents), {WALK}
+SELECT tree, w7.idx, w7.h = l7.h AS included FROM w7 JOIN l7 USING (tree)""")
 def merkle_inclusion(d: Dataset) -> DataFrame:
-    """Every leaf's path leads to its tree's root."""
+    """Whether a leaf's path leads from what its document holds to the tree's root; every eleventh text has been changed since."""
     leaves = _leaves(d)
-    paths = P.merkle_paths(leaves, 3).join(P.merkle_roots(leaves, 3), "tree")
-    return paths.select("tree", "idx", (P.path_root(F.col("leaf"), F.col("path")) == F.col("root")).alias("included"))
+    paths = P.merkle_paths(leaves).join(P.merkle_roots(leaves), "tree")
+    now = leaves.select("tree", "idx", F.sha2(F.when((F.col("tree") * 100 + F.col("idx")) % 11 == 0, F.concat("data", F.lit("!"))).otherwise(F.col("data")), 256).alias("now"))
+    return paths.join(now, ["tree", "idx"]).select("tree", "idx", (P.path_root(F.col("now"), F.col("path")) == F.col("root")).alias("included"))
 
 
-@query(f"SELECT doc_id AS entity_id, sha256(unhex(sha256(coalesce(substr(text, 1, 40), ''))) || unhex(sha256('nonce-' || doc_id))) AS blinded FROM documents")
+@query("SELECT doc_id AS entity_id, sha256(unhex(sha256(coalesce(text, ''))) || unhex(sha256('nonce-' || doc_id))) AS blinded FROM documents")
 def blinded_leaves(d: Dataset) -> DataFrame:
     """Leaves as a private proof publishes them: each hashed with a nonce."""
-    leaf, nonce = F.sha2(F.coalesce("title", F.lit("")), 256), F.sha2(F.concat(F.lit("nonce-"), F.col("entity_id").cast("string")), 256)
+    leaf, nonce = F.sha2(F.coalesce("body", F.lit("")), 256), F.sha2(F.concat(F.lit("nonce-"), F.col("entity_id").cast("string")), 256)
     return d.documents.select("entity_id", H.joined(leaf, nonce).alias("blinded"))
 
 

@@ -68,12 +68,15 @@ def conflict_history(d: Dataset) -> DataFrame:
     return T.number_versions(x, "entity_id", "event_id", "winner").withColumnRenamed("version", "nth")
 
 
-@query("""SELECT doc_id AS entity_id, CASE doc_id % 4 WHEN 0 THEN 'commitment' WHEN 1 THEN 'reveal' WHEN 2 THEN 'integrity' ELSE 'derivation' END AS kind, CASE doc_id % 4 WHEN 1 THEN doc_id % 3 <> 0 WHEN 3 THEN doc_id % 3 <> 0 ELSE true END AS valid FROM documents""")
+@query("""WITH p AS (SELECT doc_id, coalesce(text, '') AS claim, CASE doc_id % 4 WHEN 0 THEN 'commitment' WHEN 1 THEN 'reveal' WHEN 2 THEN 'integrity' ELSE 'derivation' END AS kind, doc_id % 3 = 0 AS bad FROM documents),
+g AS (SELECT *, CASE kind WHEN 'integrity' THEN sha256(CASE WHEN bad THEN claim || '!' ELSE claim END) WHEN 'reveal' THEN CASE WHEN bad THEN sha256('no') ELSE sha256(claim || doc_id) END WHEN 'derivation' THEN CASE WHEN bad THEN '' ELSE 'x' END END AS digest FROM p)
+SELECT doc_id AS entity_id, kind, CASE kind WHEN 'commitment' THEN true WHEN 'reveal' THEN digest = sha256(claim || doc_id) WHEN 'integrity' THEN digest = sha256(claim) ELSE length(digest) > 0 END AS valid FROM g""")
 def stored_proofs(d: Dataset) -> DataFrame:
-    """Four kinds of proofs of the titles; every third reveal is false, every third derivation empty."""
-    k, claim, secret = F.col("entity_id"), F.coalesce("title", F.lit("")), F.col("entity_id").cast("string")
+    """Four kinds of proofs of the whole texts; every third reveal is false, every third integrity proof is of another text, every third derivation empty."""
+    k, claim, secret = F.col("entity_id"), F.coalesce("body", F.lit("")), F.col("entity_id").cast("string")
     kind = F.element_at(F.array(*map(F.lit, ("commitment", "reveal", "integrity", "derivation"))), (k % 4 + 1).cast("int"))
-    good = F.when(kind == "integrity", F.sha2(claim, 256)).otherwise(F.sha2(F.concat(claim, secret), 256))
+    held = F.when(k % 3 == 0, F.concat(claim, F.lit("!"))).otherwise(claim)
+    good = F.when(kind == "integrity", F.sha2(held, 256)).otherwise(F.sha2(F.concat(claim, secret), 256))
     digest = F.when((k % 3 == 0) & (kind == "reveal"), F.sha2(F.lit("no"), 256)).when((k % 3 == 0) & (kind == "derivation"), "").otherwise(good)
     return d.documents.select(k, kind.alias("kind"), P.verify(kind, claim, secret, digest).alias("valid"))
 
@@ -111,7 +114,7 @@ def consistent_predicate(d: Dataset) -> DataFrame:
     """CONSISTENT(a, b) USING EUCLIDEAN over a threshold."""
     v = d.vectors.select("entity_id", F.col("embedding").alias("a"))
     n = d.vectors.select((F.col("entity_id") - 1).alias("entity_id"), F.col("embedding").alias("b"))
-    x = v.join(n, "entity_id")
+    x = d.documents.select("entity_id").join(v, "entity_id", "left").join(n, "entity_id", "left")
     return x.where(V.consistency("euclidean", F.col("a"), F.col("b")) > 0.05).select("entity_id")
 
 

@@ -14,20 +14,27 @@ ALPHA = 0.1
 RECENT = 10
 
 
-def ewma(values: Column, alpha: float = ALPHA, first_seeds: bool = False) -> Column:
-    """Exponentially weighted average of an ordered array; from 0, or seeded by its first value."""
-    rest, start = (F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.element_at(values, 1)) if first_seeds else (values, F.lit(0.0))
-    return F.aggregate(rest, start, lambda s, x: s * (1 - alpha) + x * alpha)
+def ewma(scores: DataFrame, key: str, alpha: float = ALPHA, first_seeds: bool = False, chunk: str = "1 hour") -> DataFrame:
+    """(key, average, highest, n): the exponentially weighted average of scores (key, ts, seq, score) in order of ts and seq.
 
-
-def ordered(value: str, *order: str) -> Column:
-    """An aggregate: the values of a group in order."""
-    return F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda s: s[value])
+    It starts from 0, or is seeded by the first score. The average composes: a chunk's scores act as one weight on what
+    came before and one sum added to it. So only a ``chunk`` of time is gathered, per key, and then one row per chunk.
+    """
+    keep = 1 - alpha
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts", "seq", "score"))), lambda s: s["score"])
+    at = F.window("ts", chunk)["start"].alias("chunk")
+    parts = scores.groupBy(key, at).agg(ordered.alias("xs"), F.max("score").alias("highest"), F.count("*").alias("n"))
+    part = F.aggregate("xs", F.lit(0.0), lambda s, x: s * keep + x * alpha)
+    parts = parts.select(key, "chunk", F.pow(F.lit(keep), F.col("n")).alias("weight"), part.alias("added"), F.element_at("xs", 1).alias("first"), "highest", "n")
+    whole = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk", "weight", "added"))).alias("ps"), F.min_by("first", "chunk").alias("first"), F.max("highest").alias("highest"), F.sum("n").alias("n"))
+    start = F.col("first") if first_seeds else F.lit(0.0)
+    average = F.aggregate("ps", start.cast("double"), lambda s, p: s * p["weight"] + p["added"])
+    return whole.select(key, average.alias("average"), "highest", "n")
 
 
 def batch_metrics(scores: DataFrame, kind: str = "kind") -> DataFrame:
     """(kind, average, highest, n) over all scores (kind, ts, seq, score), averaged as a stream would."""
-    return scores.groupBy(kind).agg(ewma(ordered("score", "ts", "seq")).alias("average"), F.max("score").alias("highest"), F.count("*").alias("n"))
+    return ewma(scores, kind)
 
 
 def trend(scores: DataFrame, kind: str = "kind") -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators on small inputs with known answers."""
 
+import datetime
 import json
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from facetry.functions import drift, geo, hashing, text, vectors
 from facetry.operators import entities, federation, graph, normalize, proofs, provenance, search, semantic, spatial, temporal, tensors
+from facetry.streaming import drift_state
 
 
 def one(spark, column):
@@ -120,13 +122,72 @@ def test_merkle_sizes(spark):
             level = [hashlib.sha256(level[i] + level[min(i + 1, len(level) - 1)]).digest() for i in range(0, len(level), 2)]
         return level[0].hex()
 
-    rows = [(n, i, f"leaf{i}") for n in range(1, 9) for i in range(n)]
+    sizes = [*range(1, 10), 33, 100]
+    rows = [(n, i, f"leaf{i}") for n in sizes for i in range(n)]
     leaves = spark.createDataFrame(rows, "tree long, idx long, data string")
-    roots = {r.tree: r.root for r in proofs.merkle_roots(leaves, 3).collect()}
-    assert roots == {n: root([f"leaf{i}" for i in range(n)]) for n in range(1, 9)}
-    paths = proofs.merkle_paths(leaves, 3).join(proofs.merkle_roots(leaves, 3), "tree")
-    assert paths.where(proofs.path_root(F.col("leaf"), F.col("path")) != F.col("root")).count() == 0
+    roots = {r.tree: r.root for r in proofs.merkle_roots(leaves).collect()}
+    assert roots == {n: root([f"leaf{i}" for i in range(n)]) for n in sizes}
+    paths = proofs.merkle_paths(leaves).join(proofs.merkle_roots(leaves), "tree")
+    assert paths.count() == len(rows) and paths.where(proofs.path_root(F.col("leaf"), F.col("path")) != F.col("root")).count() == 0
     assert one(spark, proofs.path_root(F.sha2(F.lit("x"), 256), F.array().cast("array<struct<h: string, left: boolean>>"))) != roots[1]
+    assert proofs.merkle_roots(leaves.limit(0)).count() == 0
+
+
+def test_chains_of_odd_entities(spark):
+    """Large ids stay exact, and records without an entity are one chain."""
+    big = 2**60 + 1
+    rows = [(e, s, "created", "a", "t", None, f"{s}") for e in (big, big + 1, None) for s in (1, 2, 3)]
+    r = spark.createDataFrame(rows, "entity_id long, seq long, event_type string, actor string, ts string, source string, description string")
+    chain = provenance.append(r)
+    assert {x.entity_id for x in chain.collect()} == {big, big + 1, None}
+    assert {(x.entity_id, x.length, x.chain_valid) for x in provenance.verify(chain).collect()} == {(e, 3, True) for e in (big, big + 1, None)}
+
+
+def test_folds_by_chunks(spark):
+    """Averages and trust folded in chunks equal the fold over all in order."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=rng.randint(0, 3000)), k, rng.random()) for k in range(700)]
+    df = spark.createDataFrame(rows, "kind string, ts timestamp, seq long, score double")
+    for seeds in (False, True):
+        got = {r.kind: (r.average, r.n) for r in drift_state.ewma(df, "kind", first_seeds=seeds).collect()}
+        for kind in "ab":
+            xs = [x for k, t, s, x in sorted(rows, key=lambda r: (r[1], r[2])) if k == kind]
+            s = xs[0] if seeds else 0.0
+            for x in xs[1:] if seeds else xs:
+                s = s * 0.9 + x * 0.1
+            assert abs(got[kind][0] - s) < 1e-12 and got[kind][1] == len(xs)
+    outcomes = spark.createDataFrame([(k, s, x > (0.3 if k == "a" else 0.75)) for k, _, s, x in rows], "store_id string, seq long, ok boolean")
+    for chunk in (7, 10_000):
+        got = {r.store_id: r.trust for r in federation.trust_fold(outcomes, chunk=chunk).collect()}
+        for kind in "ab":
+            t = 1.0
+            for k, _, s, x in rows:
+                if k == kind:
+                    t = min(max(t + (0.05 if x > (0.3 if k == "a" else 0.75) else -0.1), 0.0), 1.0)
+            assert abs(got[kind] - t) < 1e-9
+
+
+def test_distance_join_of_all_places(spark):
+    """Against all pairs: near the poles, over the date line, in small and large radii."""
+    import math
+    import random
+
+    rng = random.Random(4)
+    place = lambda: (rng.choice([rng.uniform(-90, 90), rng.uniform(85, 90), -89.9]), rng.choice([rng.uniform(-180, 180), rng.uniform(178, 180), rng.uniform(-180, -178)]))
+    rows = [(k, *place()) for k in range(250)]
+    p = spark.createDataFrame(rows, "entity_id long, lat double, lon double")
+
+    def km(a, b):
+        (_, y1, x1), (_, y2, x2) = a, b
+        h = math.sin(math.radians(y2 - y1) / 2) ** 2 + math.cos(math.radians(y1)) * math.cos(math.radians(y2)) * math.sin(math.radians(x2 - x1) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(min(1.0, h)))
+
+    for radius in (30.0, 400.0, 2500.0, 9000.0):
+        want = {(a[0], b[0]) for a in rows for b in rows if km(a, b) <= radius}
+        got = [(r.left, r.right) for r in spatial.distance_join(p, p, radius).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_proof_requests():

@@ -2,37 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a few numbers up to which a side is broadcast (some 20 MB); a larger side is shuffled.
-BROADCAST_ROWS = 500_000
+from ..shared import BROADCAST_ROWS, bounded, checkpoint, shared_dir
+
+__all__ = ["BROADCAST_ROWS", "bounded", "checkpoint", "first_per_id", "release", "shared_dir", "small_batches", "stash", "stashed", "table"]
+
 #: Bytes of an Arrow batch that a Python worker gets at once; one longer text still comes whole.
 BATCH_BYTES = 8 << 20
 
 _written: list[str] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode, else an error."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        if not given and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return given or sc.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write as Parquet in the shared folder and read back: cuts lineage and compresses."""
     path = f"{shared_dir(df.sparkSession)}/facetry/{name}-{uuid.uuid4().hex}"
@@ -64,11 +48,6 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast if it has at most so many rows, which is counted first; else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def first_per_id(docs: DataFrame) -> DataFrame:
     """One row per doc_id, the one whose columns hash least, whatever the partitions. Only rows whose doc_id recurs are shuffled."""
     again = bounded(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))

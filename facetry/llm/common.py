@@ -20,7 +20,7 @@ _written: list[str] = []
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write as Parquet in the shared folder and read back: cuts lineage and compresses."""
     path = f"{shared_dir(df.sparkSession)}/facetry/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

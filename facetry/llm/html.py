@@ -205,17 +205,17 @@ def main_text(kinds: list[int], texts: list[str], marks: set[int]) -> str:
     blocks = [t.split(" ") for t in texts]
     left = list(map(list, blocks))
     if marks:
-        tokens = page_tokens(texts)
+        tokens = page_tokens([t for t, kind in zip(texts, kinds) if kind])
         gone = np.zeros(len(tokens), bool)
         for a, b, name in runs_at(tokens):
             if name in marks:
                 gone[a:b] = True
         at = 1
         for k, (words, kind) in enumerate(zip(blocks, kinds)):
-            covered = gone[at : at + len(words)]
-            at += len(words) + 1
             if kind == 0:
                 continue
+            covered = gone[at : at + len(words)]
+            at += len(words) + 1
             unique = np.flatnonzero(~covered)
             if len(unique) <= (1 - WHOLE) * len(words):
                 left[k] = []
@@ -234,10 +234,12 @@ def _streams(batch: pa.RecordBatch, column: int) -> list[list[str]]:
 def host_runs(parsed: DataFrame) -> DataFrame:
     """(host, marks): the names of the runs that are boilerplate of a host, for hosts that have any.
 
-    parsed: (row, host, digest, chars, blocks). Pages of equal text count once. A host's distinct pages are dealt, by their
-    text, into parts of bounded size; each part has its suffix array. A run that a share of all pages has is had by that
-    share in one part at least, so a part names candidates, and those of hosts of several parts are counted on all pages.
+    parsed: (row, host, digest, chars, blocks). Streams are what lies outside declared articles; pages of equal text, article
+    included, count once, as the first row of them. A host's distinct pages are dealt, by their text, into parts of bounded
+    size; each part has its suffix array. A run that a share of all pages has is had by that share in one part at least, so
+    a part names candidates, and those of hosts of several parts are counted on all pages.
     """
+    parsed = parsed.select("row", "host", "digest", "chars", F.filter("blocks", lambda b: b["kind"] != 0).alias("blocks"))
     distinct = parsed.groupBy("host", "digest").agg(F.min("row").alias("row"), F.max("chars").alias("chars"))
     hosts = distinct.groupBy("host").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).where(F.col("n") >= PAGES)
     parts = F.ceil(F.greatest(F.col("n") / PART_PAGES, F.col("chars") / PART_CHARS)).cast("long")
@@ -250,8 +252,8 @@ def host_runs(parsed: DataFrame) -> DataFrame:
             fresh = [k not in seen and not seen.add(k) for k in keys]
             yield b.filter(pa.array(fresh, pa.bool_()))
 
-    dealt = parsed.join(bounded(hosts), "host").select("host", "n", "least", "parts", F.pmod(F.xxhash64("digest"), F.col("parts")).alias("part"), "digest", "blocks")
-    dealt = dealt.mapInArrow(once, dealt.schema).repartition("host", "part").sortWithinPartitions("host", "part", "digest")
+    dealt = parsed.join(bounded(hosts), "host").select("host", "n", "least", "parts", F.pmod(F.xxhash64("digest"), F.col("parts")).alias("part"), "digest", "row", "blocks")
+    dealt = dealt.mapInArrow(once, dealt.schema).repartition("host", "part").sortWithinPartitions("host", "part", "digest", "row")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve() -> pa.RecordBatch:
@@ -263,7 +265,7 @@ def host_runs(parsed: DataFrame) -> DataFrame:
         key = last = None
         streams: list[list[str]] = []
         for b in batches:
-            for *now, digest, stream in zip(*(b.column(k).to_pylist() for k in range(6)), _streams(b, 6)):
+            for *now, digest, stream in zip(*(b.column(k).to_pylist() for k in range(6)), _streams(b, 7)):
                 if now != key and streams:
                     yield solve()
                 if now != key or digest != last:  # sorted: equal texts from several tasks follow each other
@@ -303,7 +305,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Structure first: blocks inside menus, headers, asides, forms and the like, or elements whose class, id or role names
     them, aren't the article; blocks in article or main are. What neither tells, the host does: the token streams of all
-    its pages, over block ends, are searched for runs of RUN tokens (breaks count), and whole shorter blocks, that PAGES
+    its pages outside declared articles, over block ends, are searched for runs of RUN tokens (breaks count), and whole shorter blocks, that PAGES
     pages and SHARE of the host's distinct pages have; what they cover goes (main_text). Character references are decoded, white space is one
     space, blocks are joined by an empty line. Whole pages are read, however long. A null or empty html, or one with markup
     alone, gives an empty text; pages whose url is null or names no host are one host; repeated rows each give a row and

@@ -60,21 +60,29 @@ def neighborhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
 
 def paths(edges: DataFrame, start: str, most: int, least: int = 1) -> DataFrame:
-    """(node, depth): ends of directed walks of least..most edges, one row per walk (UNION ALL)."""
+    """(node, depth): ends of directed walks of least..most edges, one row per walk (UNION ALL); least 0 has the start itself."""
     e = edges.select(F.col("subject").alias("a"), F.col("object").alias("b"))
     walk = e.where(F.col("a") == start).select(F.col("b").alias("node"), F.lit(1).alias("depth"))
     out = walk
     for depth in range(2, most + 1):
         walk = walk.join(e, F.col("node") == F.col("a")).select(F.col("b").alias("node"), F.lit(depth).alias("depth"))
         out = out.unionByName(walk)
+    if least == 0:
+        out = out.unionByName(edges.sparkSession.createDataFrame([(start, 0)], "node string, depth int"))
     return out.where(F.col("depth") >= least)
 
 
-def pattern(edges: DataFrame, first: str, second: str) -> DataFrame:
-    """(a, b, c) of (a)-[first]->(b)-[second]->(c)."""
-    x = edges.where(F.col("predicate") == first).select(F.col("subject").alias("a"), F.col("object").alias("b"))
-    y = edges.where(F.col("predicate") == second).select(F.col("subject").alias("b"), F.col("object").alias("c"))
-    return x.join(y, "b").select("a", "b", "c")
+def steps(edges: DataFrame, predicate: str, direction: str, a: str, b: str) -> DataFrame:
+    """(a, b) of one edge of a pattern: ->, <- or -, the last either way."""
+    e = edges.where(F.col("predicate") == predicate)
+    out = e.select(F.col("subject").alias(a), F.col("object").alias(b))
+    back = e.select(F.col("object").alias(a), F.col("subject").alias(b))
+    return {"->": out, "<-": back, "-": out.unionByName(back)}[direction]
+
+
+def pattern(edges: DataFrame, first: str, second: str, directions: tuple[str, str] = ("->", "->")) -> DataFrame:
+    """(a, b, c) of two edges that meet in b, each in its direction."""
+    return steps(edges, first, directions[0], "a", "b").join(steps(edges, second, directions[1], "b", "c"), "b").select("a", "b", "c")
 
 
 def degree(edges: DataFrame) -> DataFrame:

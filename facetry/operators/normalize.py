@@ -86,3 +86,18 @@ def vector_repairs(entities: DataFrame) -> DataFrame:
 def tensor_repairs(entities: DataFrame) -> DataFrame:
     """How a drifted tensor is regenerated; no row where there is neither vector nor document."""
     return _changes(entities, "tensor", (F.col("vector").isNotNull(), "data", "reshape embedding"), (F.col("document").isNotNull(), "features", "weight terms of document"))
+
+
+def dispatch(score: Column, least: float, rules: list[tuple[Column, str]]) -> Column:
+    """The first rule's strategy that applies; scores under ``least`` are skipped."""
+    out = F.when(score < least, "skip")
+    for applies, strategy in rules:
+        out = out.when(applies, strategy)
+    return out
+
+
+def with_policy(conflicts: DataFrame, policies: DataFrame, default: str) -> DataFrame:
+    """Adds the policy of a conflict's pair of modalities, in either order; else the default. policies: one row per pair."""
+    own = policies.select(F.array_sort("pair").alias("_pair"), "policy")
+    joined = conflicts.withColumn("_pair", F.array_sort("pair")).join(F.broadcast(own), "_pair", "left")  # at most one row per pair of modalities
+    return joined.drop("_pair").withColumn("policy", F.coalesce("policy", F.lit(default)))

@@ -117,6 +117,29 @@ def key_store(keys: DataFrame) -> DataFrame:
     return g.withColumn("fingerprint", F.sha2("active", 256))
 
 
+def bundle(rows: DataFrame, asked: str, levels: int | None = None, fan: int = 1000) -> DataFrame:
+    """(query_hash, n, rows_hash, proven) of result rows (entity_id, h): one digest over the row hashes in order of entity_id.
+
+    Hashes are joined by ranges of ``fan`` ids, those digests by ranges again, and so on, so no group is larger. Without
+    ``levels`` the largest id tells how many it takes; ids are 0 or more.
+    """
+    if levels is None:
+        most = rows.agg(F.max("entity_id")).first()[0] or 0
+        levels = 1
+        while most >= fan**levels:
+            levels += 1
+    part = rows.groupBy(F.floor(F.col("entity_id") / fan).alias("b")).agg(_joined("entity_id"), F.count("*").alias("n"), F.bool_and(F.length("h") == 64).alias("proven"))
+    for _ in range(1, levels):
+        part = part.groupBy(F.floor(F.col("b") / fan).alias("b")).agg(_joined("b"), F.sum("n").alias("n"), F.bool_and("proven").alias("proven"))
+    return part.select(F.sha2(F.lit(asked), 256).alias("query_hash"), "n", F.col("h").alias("rows_hash"), "proven")
+
+
+def _joined(order: str) -> Column:
+    """An aggregate: the digest of a group's hashes in order."""
+    hs = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "h"))), lambda s: s["h"])
+    return F.sha2(F.array_join(hs, ""), 256).alias("h")
+
+
 def composable(kinds: list[str], with_: dict[str, set[str]]) -> bool:
     """Every pair of proof kinds accepts each other."""
     return all(b in with_.get(a, ()) and a in with_.get(b, ()) for i, a in enumerate(kinds) for b in kinds[i + 1 :])

@@ -9,6 +9,7 @@ from ..functions.geo import is_wgs84
 from ..functions.text import local_name
 from ..model import Dataset
 from ..operators import graph as G
+from ..operators import search
 from ..operators import spatial as P
 from ..operators import temporal as T
 from ..operators import tensors as N
@@ -68,6 +69,41 @@ def edge_pattern(d: Dataset) -> DataFrame:
     return G.pattern(d.edges, "in_nation", "in_region")
 
 
+@query(f"SELECT x.subject AS a, x.object AS b, y.subject AS c FROM {EDGES} x JOIN {EDGES} y ON x.object = y.object WHERE x.predicate = 'in_nation' AND y.predicate = 'in_nation' AND x.subject = 'supplier/1'")
+def edge_pattern_reverse(d: Dataset) -> DataFrame:
+    """(supplier/1)-[in_nation]->(b)<-[in_nation]-(c)."""
+    return G.pattern(d.edges, "in_nation", "in_nation", ("->", "<-")).where("a = 'supplier/1'")
+
+
+@query(f"""WITH u AS (SELECT subject AS a, object AS b FROM {EDGES} WHERE predicate = 'in_region' UNION ALL SELECT object, subject FROM {EDGES} WHERE predicate = 'in_region')
+SELECT x.a, x.b, y.b AS c FROM u x JOIN u y ON x.b = y.a""")
+def edge_pattern_undirected(d: Dataset) -> DataFrame:
+    """(a)-[in_region]-(b)-[in_region]-(c)."""
+    return G.pattern(d.edges, "in_region", "in_region", ("-", "-"))
+
+
+WALK = f"WITH RECURSIVE w AS (SELECT 'order/1' AS node, 0 AS depth UNION ALL SELECT e.object, depth + 1 FROM w JOIN {EDGES} e ON e.subject = w.node WHERE depth < 3)"
+
+
+@query(f"{WALK} SELECT node, depth FROM w WHERE depth >= 2")
+def quantified_paths(d: Dataset) -> DataFrame:
+    """Walks of {{2,3}} edges."""
+    return G.paths(d.edges, "order/1", 3, 2)
+
+
+@query(f"{WALK} SELECT node, depth FROM w")
+def star_paths(d: Dataset) -> DataFrame:
+    """Walks of any number of edges, none included; the graph is three deep."""
+    return G.paths(d.edges, "order/1", 3, 0)
+
+
+@query(f"""WITH h1 AS (SELECT DISTINCT b AS node FROM {BOTH} WHERE a = 'nation/3'), h2 AS (SELECT DISTINCT b AS node FROM {BOTH} JOIN h1 ON a = h1.node WHERE b <> 'nation/3' AND b NOT IN (SELECT node FROM h1))
+SELECT node, depth FROM (SELECT 'nation/3' AS node, 0 AS depth UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2) ORDER BY depth, node LIMIT 50""")
+def walk_by_depth(d: Dataset) -> DataFrame:
+    """An undirected walk, nearest nodes first, the first fifty."""
+    return G.neighborhood(d.edges, d.spark.createDataFrame([("nation/3",)], "node string"), 2).orderBy("depth", "node").limit(50)
+
+
 @query(f"""WITH RECURSIVE w AS (SELECT object AS node, 1 AS depth FROM {EDGES} WHERE subject = 'order/1' UNION ALL SELECT e.object, depth + 1 FROM w JOIN {EDGES} e ON e.subject = w.node WHERE depth < 3)
 SELECT node, depth FROM w WHERE depth >= 1""")
 def bounded_paths(d: Dataset) -> DataFrame:
@@ -195,6 +231,19 @@ def spatial_validation(d: Dataset) -> DataFrame:
     return d.spatial.agg(F.count("*").alias("n"), F.sum(is_wgs84(F.col("lat"), F.col("lon")).cast("int")).alias("valid"))
 
 
+@query("""SELECT CASE WHEN s_suppkey % 4 = 0 THEN 'moved' ELSE 'old' END AS kind, count(*) AS n, round(sum(CASE WHEN s_suppkey % 4 = 0 THEN 10.5 ELSE (s_suppkey * 37) % 18000 / 100 - 90 END), 4) AS lat FROM supplier WHERE s_suppkey % 5 <> 0 GROUP BY 1
+UNION ALL SELECT 'rejected', count(*), NULL FROM supplier WHERE s_suppkey % 6 = 0""")
+def spatial_updates(d: Dataset) -> DataFrame:
+    """Every fourth supplier moves, places off the globe are rejected, every fifth supplier is deleted."""
+    key = F.split_part("entity_id", F.lit("/"), F.lit(2)).cast("long")
+    p = d.spatial.where(F.col("entity_id").startswith("supplier/"))
+    new = p.where(key % 4 == 0).withColumn("lat", F.lit(10.5)).unionByName(p.where(key % 6 == 0).withColumn("lat", F.lit(91.0)))
+    on_globe = is_wgs84(F.col("lat"), F.col("lon"))
+    left = search.delete(search.upsert(p, new.where(on_globe)), p.where(key % 5 == 0))
+    kinds = left.groupBy(F.when(key % 4 == 0, "moved").otherwise("old").alias("kind")).agg(F.count("*").alias("n"), F.round(F.sum("lat"), 4).alias("lat"))
+    return kinds.unionByName(new.where(~on_globe).agg(F.lit("rejected").alias("kind"), F.count("*").alias("n"), F.lit(None).cast("double").alias("lat")))
+
+
 @query(f"SELECT entity_id FROM {S} WHERE lat > -80 AND lat < -20 AND lon > -150 AND lon < -150 + 2 * (lat + 80)")
 def spatial_polygon(d: Dataset) -> DataFrame:
     return P.in_polygon(d.spatial, [(-80.0, -150.0), (-20.0, -150.0), (-20.0, -30.0)]).select("entity_id")

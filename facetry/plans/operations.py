@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import values as X
 from ..functions import vectors as V
 from ..model import Dataset
 from ..operators import entities as O
@@ -172,3 +173,76 @@ def proof_usage(d: Dataset) -> DataFrame:
 
     g = d.documents.groupBy(F.col("lang").alias("claim")).agg(F.count("*").alias("proofs"))
     return g.select("claim", "proofs", F.round(100.0 * F.col("proofs") / F.sum("proofs").over(W.partitionBy()), 6).alias("percent"))
+
+
+@query("""SELECT event_id, props::JSON->>'$.k' AS k, coalesce(TRY_CAST(CASE WHEN event_id % 3 = 0 THEN 'n/a' ELSE props::JSON->>'$.k' END AS DOUBLE), 0.0) AS number, event_id % 2 = 0 AS uuid FROM events""")
+def value_checks(d: Dataset) -> DataFrame:
+    """A JSON path, a number with a default, and a check for UUIDs."""
+    k, text = F.col("event_id"), X.json_path(F.col("props"), "k")
+    dashed = F.regexp_replace(F.md5(k.cast("string").cast("binary")), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")
+    number = X.parse_or(F.when(k % 3 == 0, "n/a").otherwise(text))
+    return d.table("events").select("event_id", text.alias("k"), number.alias("number"), X.is_uuid(F.when(k % 2 == 0, dashed).otherwise(F.lit("no-uuid"))).alias("uuid"))
+
+
+@query("""SELECT doc_id AS entity_id, map_extract(m, 'quality')[1] AS quality, map_extract(m, 'toxic')[1] AS toxic, map_extract(m, 'kind')[1] AS kind, cardinality(m)::INT AS n
+FROM (SELECT doc_id, map_concat(map_concat(MAP {'quality': quality::VARCHAR, 'toxic': toxic::VARCHAR}, MAP {'toxic': 'checked'}), MAP {'kind': 'label'}) AS m FROM labels)""")
+def map_updates(d: Dataset) -> DataFrame:
+    """Maps merged, the later entry winning, and one key put."""
+    own = F.create_map(F.lit("quality"), F.col("quality").cast("string"), F.lit("toxic"), F.col("toxic").cast("string"))
+    m = X.map_put(X.map_merge(own, F.create_map(F.lit("toxic"), F.lit("checked"))), "kind", F.lit("label"))
+    x = d.semantic.select("entity_id", m.alias("m"))
+    return x.select("entity_id", *(F.col("m")[k].alias(k) for k in ("quality", "toxic", "kind")), F.size("m").alias("n"))
+
+
+@query("""SELECT '-24h' AS span, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 24 HOUR UNION ALL SELECT '-15m', count(*) FROM events WHERE ts >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 15 MINUTE
+UNION ALL SELECT '-2w', count(*) FROM events WHERE ts >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 14 DAY""")
+def relative_times(d: Dataset) -> DataFrame:
+    """Events since a relative time, for several spans in one scan."""
+    now = F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")
+    spans = ["-24h", "-15m", "-2w"]
+    sums = d.table("events").agg(*(F.count_if(F.col("ts") >= X.ago(now, s)).alias(s) for s in spans))
+    return sums.unpivot([], spans, "span", "n")
+
+
+@query("""SELECT 'document' AS modality, count(*) + (SELECT count(*) FROM benchmark) AS n FROM documents UNION ALL SELECT 'semantic', count(*) + (SELECT count(*) FROM benchmark) FROM labels
+UNION ALL SELECT 'vector', count(*) FROM embeddings""")
+def insert_entities(d: Dataset) -> DataFrame:
+    """Benchmark items become entities with a document and an annotation, beside those that exist; vectors stay as they are."""
+    new = d.table("benchmark").select((-F.col("item_id") - 1).alias("entity_id"), F.col("text").alias("body"))
+    slots = {"document": S.upsert(d.documents.select("entity_id", "body"), new), "semantic": S.upsert(d.semantic, new.select("entity_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))), "vector": d.vectors}
+    return J.union([x.agg(F.lit(k).alias("modality"), F.count("*").alias("n")) for k, x in slots.items()])
+
+
+@query("""WITH l AS (SELECT doc_id, sha256(doc_id || ':' || lang) AS h FROM documents WHERE lang = 'fr'), g AS (SELECT doc_id // 1000 AS b, sha256(string_agg(h, '' ORDER BY doc_id)) AS h, count(*) AS n, bool_and(length(h) = 64) AS proven FROM l GROUP BY 1)
+SELECT sha256('lang = fr') AS query_hash, sum(n)::BIGINT AS n, sha256(string_agg(h, '' ORDER BY b)) AS rows_hash, bool_and(proven) AS proven FROM g GROUP BY b // 1000""")
+def result_bundle(d: Dataset) -> DataFrame:
+    """A result's evidence: the hash of what was asked, the number of rows, one digest over the sorted rows' hashes."""
+    r = d.documents.where("lang = 'fr'").select("entity_id", F.sha2(F.concat(F.col("entity_id").cast("string"), F.lit(":"), F.col("lang")), 256).alias("h"))
+    return P.bundle(r, "lang = fr", levels=2)
+
+
+@query("""SELECT o_custkey AS circuit, count(*) AS entries, arg_max(o_orderstatus, o_orderkey) <> 'F' AS registered FROM orders GROUP BY 1""")
+def circuit_registry(d: Dataset) -> DataFrame:
+    """Circuits by name, as a fold of a log in which F unregisters and any other entry registers."""
+    op = F.when(F.col("o_orderstatus") == "F", "leave").otherwise("register")
+    log = d.table("orders").select(F.col("o_custkey").alias("store_id"), F.col("o_orderkey").alias("ts"), op.alias("op"))
+    return J.heartbeats(log).select(F.col("store_id").alias("circuit"), F.col("beats").alias("entries"), F.col("live").alias("registered"))
+
+
+@query("""SELECT event_id, CASE WHEN value % 1 < 0.2 THEN 'skip' WHEN event_type = 'error' THEN 'repair_provenance' WHEN event_type = 'click' THEN 'regenerate_vector' ELSE 'sync_document' END AS strategy FROM events""")
+def repair_dispatch(d: Dataset) -> DataFrame:
+    """The first strategy that applies, in order; scores under the least one are skipped."""
+    kind = F.col("event_type")
+    rules = [(kind == "error", "repair_provenance"), (kind == "click", "regenerate_vector"), (F.lit(True), "sync_document")]
+    return d.table("events").select("event_id", M.dispatch(F.col("value") % 1, 0.2, rules).alias("strategy"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'dismissed' WHEN event_type = 'click' THEN 'manual' ELSE 'vector' END AS winner FROM events WHERE event_type IN ('click', 'view')""")
+def conflict_overrides(d: Dataset) -> DataFrame:
+    """Conflicts resolved by a policy of their own pair where there is one; dismissed ones stay so."""
+    e = d.table("events").where(F.col("event_type").isin("click", "view"))
+    pair = F.when(F.col("event_type") == "click", F.array(F.lit("document"), F.lit("graph"))).otherwise(F.array(F.lit("document"), F.lit("vector")))
+    policies = d.spark.createDataFrame([(["document", "graph"], "manual")], "pair array<string>, policy string")
+    x = M.with_policy(e.select("event_id", pair.alias("pair")), policies, "lww")
+    resolved = F.when(F.col("policy") == "manual", "manual").otherwise(M.resolve("lww", F.col("pair"), F.lit(0.0)))
+    return x.select("event_id", F.when(F.col("event_id") % 10 == 0, "dismissed").otherwise(resolved).alias("winner"))

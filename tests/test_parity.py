@@ -24,7 +24,7 @@ def normal(v):
     return ("str", str(v))
 
 
-SF_DIRS = ["/root/testdata/sf0.001", "/root/testdata/sf0.01"]
+SF_DIRS = os.environ.get("TEST_SF_DIRS", "/root/testdata/sf0.001").split(",")
 
 
 @pytest.fixture(scope="module", params=SF_DIRS)

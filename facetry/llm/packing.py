@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -60,8 +61,8 @@ class Encoder:
     """Ids of whole texts, as little-endian 16-bit words for vocabularies that fit them.
 
     White space always parts words of this tokenizer, and so does a change between letters and other characters, so ids
-    are kept per word. A word is cut before its trailing punctuation only if the tokenizer's own normalizer leaves letters
-    alone in what comes before. A Python worker keeps them from task to task, up to WORDS_KEPT words.
+    are kept per word. A word is cut before its trailing punctuation only if normalization leaves letters alone in what
+    comes before. A Python worker keeps them from task to task, up to WORDS_KEPT words.
     """
 
     made: dict[str, Encoder] = {}
@@ -85,9 +86,10 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.unit).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _plain(self, core: str) -> bool:
-        """Whether a core is letters only, after normalization too (a capital with a dot gives a letter and a mark)."""
-        return core.isalpha() and (core.isascii() or self.tokenizer.normalizer.normalize_str(core).isalpha())
+    @staticmethod
+    def _plain(core: str) -> bool:
+        """Whether a core is letters only, in lower case and composed form too (the dotted capital I gives a letter and a mark)."""
+        return core.isalpha() and (core.isascii() or "\u0130" not in core and unicodedata.is_normalized("NFC", core))
 
     def _letters(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters only: encoded in one go, parted after each token that ends a word."""

@@ -34,6 +34,19 @@ def related(edges: DataFrame, node: str, predicate: str) -> DataFrame:
     return outgoing(edges, node).where(F.col("predicate") == predicate).select(F.col("object").alias("entity_id"))
 
 
+def keyed(edges: DataFrame) -> DataFrame:
+    """(by_subject, by_object): the sort keys of the two orders that triples are stored in, parts ended by U+0000."""
+    end = F.lit("\u0000")
+    return edges.select(F.concat("subject", end, "predicate", end, "object").alias("by_subject"), F.concat("object", end, "predicate", end, "subject").alias("by_object"))
+
+
+def scan_keys(keys: DataFrame, key: str, first: str) -> DataFrame:
+    """Triples whose key begins with one subject or object; the prefix reaches the scan of a stored table."""
+    parts = F.split(key, "\u0000")
+    names = TRIPLE if key == "by_subject" else TRIPLE[::-1]
+    return keys.where(F.col(key).startswith(first + "\u0000")).select(*(F.get(parts, F.lit(names.index(n))).alias(n) for n in TRIPLE))
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """(a, b): each edge both ways."""
     return edges.select(F.col("subject").alias("a"), F.col("object").alias("b")).unionByName(edges.select(F.col("object").alias("a"), F.col("subject").alias("b")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import joined
+from ..shared import bounded
 
 ZEROS = "0" * 64
 #: Absolute error up to which a constraint holds.
@@ -16,6 +17,22 @@ NEEDS_CONTRACT = {"INTEGRITY", "CITATION", "CUSTOM", "SANCTIFY"}
 SEQUENTIAL = {"PROVENANCE", "CITATION"}
 KINDS = ["EXISTENCE", "CITATION", "ACCESS", "INTEGRITY", "PROVENANCE", "CUSTOM", "ZKP", "PROVEN", "SANCTIFY", "CONSISTENCY", "FRESHNESS"]
 
+# The modalities of which a kind needs one, and each kind's circuit, estimated milliseconds and witness fields.
+NEEDS_ONE_OF = {"INTEGRITY": ["semantic"], "PROVENANCE": ["provenance"], "FRESHNESS": ["temporal"], "CITATION": ["document", "semantic"], "PROVEN": ["semantic"], "SANCTIFY": ["semantic"]}
+OBLIGATIONS = {
+    "EXISTENCE": ("existence-proof-v1", 50, ["hexad_id", "timestamp", "modality_count"]),
+    "INTEGRITY": ("integrity-proof-v1", 200, ["content_hash", "merkle_root", "schema_version"]),
+    "CONSISTENCY": ("consistency-proof-v1", 250, ["modality_a", "modality_b", "drift_score", "threshold"]),
+    "PROVENANCE": ("provenance-proof-v1", 300, ["chain_hash", "chain_length", "origin", "actor_trail"]),
+    "FRESHNESS": ("freshness-proof-v1", 100, ["last_modified", "max_age_ms", "version_count"]),
+    "ACCESS": ("access-control-v1", 150, ["principal_id", "resource_id", "permission_set"]),
+    "CITATION": ("citation-proof-v1", 100, ["source_ids", "citation_chain", "reference_count"]),
+    "CUSTOM": (None, 500, ["circuit_inputs"]),
+    "ZKP": (None, 400, ["claim", "blinding_nonce"]),
+    "PROVEN": ("proven-cert-v1", 200, ["certificate_hash", "proof_data"]),
+    "SANCTIFY": ("sanctify-v1", 200, ["contract_hash", "security_level"]),
+}
+
 
 def merkle_levels(leaves: DataFrame) -> list[DataFrame]:
     """Levels (tree, idx, h, n) from the leaf hashes (tree, idx, data) up to the roots; n is a tree's size at that level.
@@ -82,17 +99,43 @@ def gate(constraint: int, kind: str, a: int, b: int, out: int) -> list[tuple[int
     raise ValueError(kind)
 
 
-def composition(kinds: list[str]) -> str:
-    """independent for one obligation, sequential with both provenance and citation, else conjunction."""
-    if len(kinds) <= 1:
-        return "independent"
-    return "sequential" if SEQUENTIAL <= set(kinds) else "conjunction"
+def composition(kinds: Column) -> Column:
+    """independent for one obligation or none, sequential with both provenance and citation, else conjunction."""
+    both = F.size(F.array_intersect(kinds, _strings(sorted(SEQUENTIAL)))) == len(SEQUENTIAL)
+    return F.when(F.size(kinds) <= 1, "independent").when(both, "sequential").otherwise("conjunction")
+
+
+def request_problem(kinds: Column, contract: Column, modalities: Column) -> Column:
+    """The first problem of a proof request, null if it has none: no modality, no proof, an unknown kind, a kind without its
+    contract, a kind none of whose modalities is asked ('all' asks every one)."""
+    bare = F.coalesce(contract == "", F.lit(True))
+    wrong = F.transform(kinds, lambda k: F.when(~k.isin(KINDS), F.concat(F.lit("unknown:"), k)).when(k.isin(*NEEDS_CONTRACT) & bare, F.concat(F.lit("contract:"), k)))
+    needs = F.create_map(*(x for k, ms in NEEDS_ONE_OF.items() for x in (F.lit(k), _strings(ms))))
+    unmet = F.filter(kinds, lambda k: ~F.array_contains(modalities, "all") & F.coalesce(~F.arrays_overlap(F.try_element_at(needs, k), modalities), F.lit(False)))
+    return (
+        F.when(F.size(modalities) == 0, "no modality")
+        .when(F.size(kinds) == 0, "no proof")
+        .otherwise(F.coalesce(F.get(F.filter(wrong, lambda x: x.isNotNull()), F.lit(0)), F.concat(F.lit("modality:"), F.get(unmet, F.lit(0)))))
+    )
+
+
+def obligations(requests: DataFrame) -> DataFrame:
+    """(entity_id, kind, circuit, witness, ms) of proof requests (entity_id, kinds, contract): one row per known kind asked.
+
+    A custom proof's circuit is its contract. The table of kinds has a fixed eleven rows, so it is broadcast.
+    """
+    known = requests.sparkSession.createDataFrame([(k, *v) for k, v in OBLIGATIONS.items()], "kind string, own string, ms int, witness array<string>")
+    circuit = F.when(F.col("kind") == "CUSTOM", F.coalesce("contract", F.lit("custom-circuit"))).otherwise(F.col("own"))
+    return requests.select("entity_id", "contract", F.explode("kinds").alias("kind")).join(F.broadcast(known), "kind").select("entity_id", "kind", circuit.alias("circuit"), "witness", "ms")
+
+
+def first_failed(gates: dict[str, Column]) -> Column:
+    """The name of the first gate that doesn't hold, null if all do: the result of their conjunction."""
+    return F.coalesce(*(F.when(~F.coalesce(c, F.lit(False)), k) for k, c in gates.items()))
 
 
-def check_obligations(kinds: list[str], contracts: dict[str, str]) -> list[str]:
-    """Problems of a proof request: unknown kinds, and missing contracts."""
-    out = [f"unknown proof type {k}" for k in kinds if k not in KINDS]
-    return out + [f"{k} needs a contract" for k in kinds if k in NEEDS_CONTRACT and not contracts.get(k)]
+def _strings(xs: list[str]) -> Column:
+    return F.array(*map(F.lit, xs))
 
 
 def certificates(obligations: DataFrame) -> DataFrame:
@@ -140,6 +183,11 @@ def _joined(order: str) -> Column:
     return F.sha2(F.array_join(hs, ""), 256).alias("h")
 
 
-def composable(kinds: list[str], with_: dict[str, set[str]]) -> bool:
-    """Every pair of proof kinds accepts each other."""
-    return all(b in with_.get(a, ()) and a in with_.get(b, ()) for i, a in enumerate(kinds) for b in kinds[i + 1 :])
+def composable(requests: DataFrame, contracts: DataFrame) -> DataFrame:
+    """(entity_id, composable): whether every two contracts of a request (entity_id, contracts) are registered and each
+    accepts the other's kind; a single contract always composes. contracts: (contract, kind, accepts)."""
+    at = requests.select("entity_id", F.posexplode("contracts").alias("i", "contract")).join(bounded(contracts), "contract", "left")
+    own = at.groupBy("entity_id").agg(F.collect_list(F.struct("i", "kind", "accepts")).alias("cs"))  # as long as the request's own list
+    accept = lambda a, b: F.coalesce(F.array_contains(a["accepts"], b["kind"]), F.lit(False))
+    clash = F.exists("cs", lambda a: F.exists("cs", lambda b: (a["i"] < b["i"]) & ~(accept(a, b) & accept(b, a))))
+    return own.select("entity_id", (~clash).alias("composable"))

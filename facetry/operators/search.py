@@ -189,6 +189,16 @@ def weighted_match(docs: DataFrame, word: str, weights: dict[str, float], fuzz:
     return docs.select("entity_id", sum((near(c) * w for c, w in weights.items()), F.lit(0.0)).alias("score")).where("score > 0")
 
 
+def best_field_match(docs: DataFrame, word: str, weights: dict[str, float]) -> DataFrame:
+    """(entity_id, field, score) of the field that matches best: weight times its tokens within the edits that the word's
+    length allows (none up to 2 letters, one up to 5, else two). Ties go to the field named first."""
+    word = word.lower()
+    edits = 0 if len(word) < 3 else 1 if len(word) < 6 else 2
+    near = lambda c: F.size(F.filter(T.tokens(F.col(c)), lambda t: F.levenshtein(t, F.lit(word), edits) >= 0))
+    scored = F.array(*(F.struct(F.coalesce(near(c) * w, F.lit(0.0)).alias("score"), F.lit(-i).alias("order"), F.lit(c).alias("field")) for i, (c, w) in enumerate(weights.items())))
+    return docs.select("entity_id", F.array_max(scored).alias("best")).select("entity_id", "best.field", "best.score").where("score > 0")
+
+
 def rank_score(hits: DataFrame, k: int) -> DataFrame:
     """The k best with their position in the ranking and 1 - 0.1 x position beside the true score: a top-k first, so the
     numbering sees k rows."""

@@ -38,7 +38,7 @@ def within_bounds(points: DataFrame, lat0: float, lon0: float, lat1: float, lon1
     return points.where(F.col("lat").between(lat0, lat1) & F.col("lon").between(lon0, lon1)).withColumn("km", _from((lat0 + lat1) / 2, (lon0 + lon1) / 2))
 
 
-def nearest(points: DataFrame, lat: float, lon: float, k: int) -> DataFrame:
+def nearest(points: DataFrame, lat: float, lon: float, k: int = 50) -> DataFrame:
     return points.withColumn("km", _from(lat, lon)).orderBy("km", "entity_id").limit(k)
 
 

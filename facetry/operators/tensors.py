@@ -18,12 +18,9 @@ def is_consistent(shape: Column, data: Column) -> Column:
     return numel(shape) == F.size(data)
 
 
-def filled(shape: list[int], value: float) -> Column:
-    """zeros and ones."""
-    n = 1
-    for s in shape:
-        n *= s
-    return F.array_repeat(F.lit(value), n)
+def filled(shape: Column, value: float) -> Column:
+    """The data of a tensor of one value: zeros and ones."""
+    return F.array_repeat(F.lit(value), numel(shape).cast("int"))
 
 
 def mapped(tensors: DataFrame, f: Callable[[Column], Column]) -> DataFrame:

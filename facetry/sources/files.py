@@ -33,9 +33,25 @@ def entity_tables(entities: DataFrame) -> dict[str, DataFrame]:
 
 
 def read_scans(spark: SparkSession, path: str) -> DataFrame:
-    """Scan reports, one JSON document a file, as one row per weak point; a report without any has one row of nulls."""
+    """Scan reports, one JSON document or array of them a file, as one row per weak point with its place ``point`` in the
+    report; a report without any has one row of nulls."""
     scans = spark.read.schema(SCAN).option("multiLine", True).json(path)
-    return scans.select("program_path", "language", F.explode_outer("weak_points").alias("p")).select("program_path", "language", "p.*")
+    return scans.select("program_path", "language", F.posexplode_outer("weak_points").alias("point", "p")).select("program_path", "language", "point", "p.*")
+
+
+def scan_triples(points: DataFrame) -> DataFrame:
+    """(subject, predicate, object) of weak points (program_path, point, category, location, severity): a repository's
+    scan, the scan's weaknesses, and each one's file, category and severity; what is missing is 'unknown'."""
+    scan = F.concat(F.lit("scan:"), "program_path")
+    weakness = F.concat(scan, F.lit(":wp:"), F.col("point").cast("string"))
+    to = lambda kind, c: F.concat(F.lit(kind), F.coalesce(c, F.lit("unknown")))
+    triple = lambda s, p, o: F.struct(s.alias("subject"), F.lit(p).alias("predicate"), o.alias("object"))
+    own = F.array(
+        triple(scan, "has_weakness", weakness), triple(weakness, "in_file", to("file:", "location")),
+        triple(weakness, "has_category", to("category:", "category")), triple(weakness, "has_severity", to("severity:", "severity")),
+    )
+    repos = points.select(F.concat(F.lit("repo:"), "program_path").alias("subject"), F.lit("has_scan").alias("predicate"), scan.alias("object")).distinct()
+    return repos.unionByName(points.where("point is not null").select(F.explode(own).alias("t")).select("t.*"))
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from facetry.functions import drift, geo, hashing, text, vectors
-from facetry.operators import entities, federation, graph, normalize, proofs, provenance, search, semantic, spatial, temporal, tensors
+from facetry.operators import access, entities, federation, graph, normalize, proofs, provenance, search, semantic, spatial, temporal, tensors
 from facetry.streaming import drift_state
 
 
@@ -98,7 +98,7 @@ def test_tensors(spark):
     assert rows(2, "sum") == []
     s = one(spark, tensors.statistics(arr(1, 3, float("nan"), float("inf"))))
     assert (s["mean"], s["std"], s["has_nan"], s["has_inf"]) == (2, 1, True, True)
-    assert one(spark, F.size(tensors.filled([2, 3], 1.0))) == 6
+    assert one(spark, F.size(tensors.filled(F.array(F.lit(2), F.lit(3)), 1.0))) == 6
 
 
 @pytest.mark.parametrize("kind,table", [("and", (0, 0, 0, 1)), ("or", (0, 1, 1, 1)), ("xor", (0, 1, 1, 0))])
@@ -190,10 +190,16 @@ def test_distance_join_of_all_places(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_proof_requests():
-    assert proofs.composition(["EXISTENCE"]) == "independent"
-    assert proofs.composition(["PROVENANCE", "CITATION"]) == "sequential" and proofs.composition(["ACCESS", "EXISTENCE"]) == "conjunction"
-    assert proofs.check_obligations(["NOPE", "INTEGRITY"], {}) == ["unknown proof type NOPE", "INTEGRITY needs a contract"]
+def test_proof_requests(spark):
+    m = lambda *xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
+    by = lambda *xs: one(spark, proofs.composition(m(*xs)))
+    assert (by(), by("EXISTENCE"), by("PROVENANCE", "CITATION"), by("ACCESS", "EXISTENCE")) == ("independent", "independent", "sequential", "conjunction")
+    problem = lambda kinds, contract, modalities: one(spark, proofs.request_problem(m(*kinds), F.lit(contract).cast("string"), m(*modalities)))
+    assert problem(["NOPE", "INTEGRITY"], None, ["all"]) == "unknown:NOPE" and problem(["INTEGRITY"], "", ["all"]) == "contract:INTEGRITY"
+    assert problem(["CITATION"], "c", ["graph"]) == "modality:CITATION" and problem(["CITATION"], "c", ["graph", "document"]) is None
+    assert problem([], "c", []) == "no modality" and problem([], "c", ["all"]) == "no proof"
+    r = spark.createDataFrame([(1, ["CUSTOM", "NOPE"], "mine"), (2, ["CUSTOM"], None)], "entity_id long, kinds array<string>, contract string")
+    assert {(x.entity_id, x.circuit, x.ms) for x in proofs.obligations(r).collect()} == {(1, "mine", 500), (2, "custom-circuit", 500)}
 
 
 def test_conflicts(spark):
@@ -275,6 +281,16 @@ def test_fan_out(spark):
     assert federation.fan_out({"b": broken})[0] is None
 
 
-def test_composable():
-    rules = {"a": {"b", "c"}, "b": {"a"}, "c": {"a", "b"}}
-    assert proofs.composable(["a", "b"], rules) and not proofs.composable(["a", "b", "c"], rules) and proofs.composable(["a"], {})
+def test_composable(spark):
+    rules = spark.createDataFrame([("a", "A", ["B", "C"]), ("b", "B", ["A"]), ("c", "C", ["A", "B"])], "contract string, kind string, accepts array<string>")
+    r = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "b", "c"]), (3, ["x"]), (4, ["a", "x"])], "entity_id long, contracts array<string>")
+    assert {(x.entity_id, x.composable) for x in proofs.composable(r, rules).collect()} == {(1, True), (2, False), (3, True), (4, False)}
+
+
+def test_access(spark):
+    ask = [(1, "r", "vector", 5, "read"), (1, "g", "vector", 5, "read"), (1, "g", "document", None, "read"), (2, "x", "vector", 5, "admin"), (3, "x", "vector", 5, "admin")]
+    q = spark.createDataFrame(ask, "client int, role string, modality string, entity_id int, permission string")
+    grants = spark.createDataFrame([("r", None, "read"), ("g", "document", "read")], "role string, modality string, permission string")
+    acl = spark.createDataFrame([(5, 2, "admin"), (5, 2, "admin")], "entity_id int, client int, permission string")
+    got = sorted((r.client, r.role, r.modality, r.reason, r.allowed) for r in access.decide(q, grants, acl).collect())
+    assert got == [(1, "g", "document", "modality", True), (1, "g", "vector", "denied", False), (1, "r", "vector", "global", True), (2, "x", "vector", "entity", True), (3, "x", "vector", "denied", False)]
